@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, token_planes
+from . import jaccard_join, line_dedup, mixing, token_planes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,7 +36,7 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_mixing, op7_token_planes)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op6_mixing, op7_token_planes)}
 
 _KEY = r"lower(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''))"
 
