@@ -100,7 +100,7 @@ class ToxicModel:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, d: int, pairs: np.ndarray, ridge: float = 0.5, counter: float = 5.0, steps: int = 20) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, d: int, pairs: np.ndarray, ridge: float = 0.1, counter: float = 5.0, steps: int = 20) -> tuple[np.ndarray, float]:
     """Weights and bias of binary features given as (row, column) entries.
 
     ``pairs``: (original row, copy row); copies have no label (their y is nan). The
