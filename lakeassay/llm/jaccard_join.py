@@ -4,7 +4,7 @@ Sets are the distinct k-word shingles of whole texts, as 64-bit hashes. Two sets
 link when den * |A & B| >= num * |A | B|. The join is exact:
 
 1. Equal sets collapse to one representative (a 128-bit sum and the size).
-2. A count sketch of fixed size orders shingles, rare ones first; any common order
+2. A count sketch of bounded size orders shingles, rare ones first; any common order
    is right, so its errors cost time only. Each representative puts the prefix of
    its set that any partner must meet into index lists (shingle, position, size).
 3. Skipping by position: in a list, a pair can only link if what follows both
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import store, text
 from .components import components
 
-SKETCH_BITS = 21
+SKETCH_BITS = (18, 26)  # least and most; about one cell for 16 shingles in between
 SKETCH_BLOCK = 1 << 15
 ID_FILTER_BITS = 1 << 26
 HUB_ROWS = 1024
@@ -63,9 +63,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
-def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents by cell of their shingles' hashes: 2**SKETCH_BITS counts, whatever the corpus."""
-    shift, cells = np.uint64(64 - SKETCH_BITS), 1 << SKETCH_BITS
+def shingle_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """Documents by cell of their shingles' hashes: 2**bits counts."""
+    shift, cells = np.uint64(64 - bits), 1 << bits
 
     def count(batches):
         import zstandard
@@ -73,7 +73,7 @@ def shingle_sketch(docs: DataFrame, k: int) -> np.ndarray:
         total = np.zeros(cells, np.uint32)
         for b in batches:
             for _, h, _ in _sets(b.column(0), k):
-                total += np.bincount((h >> shift).astype(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(total, (h >> shift).astype(np.int64), 1)
         z = zstandard.ZstdCompressor(level=1)
         for at in np.flatnonzero(total.reshape(-1, SKETCH_BLOCK).any(axis=1)).tolist():
             part = total[at * SKETCH_BLOCK : (at + 1) * SKETCH_BLOCK]
@@ -146,11 +146,12 @@ def id_filter(ids: DataFrame, bits: int = ID_FILTER_BITS) -> bytes:
     return out.tobytes()
 
 
-def index_lists(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def index_lists(docs: DataFrame, reps: DataFrame, shingles: int, k: int, num: int, den: int) -> DataFrame:
     """Rows (token, pos, n, doc, lead, lead_n, lead_pos) of index lists with two sets at least."""
     spark = docs.sparkSession
-    level = spark.sparkContext.broadcast(levels(shingle_sketch(docs, k)))
-    shift = np.uint64(64 - SKETCH_BITS)
+    bits = min(max(int(shingles // 16).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    level = spark.sparkContext.broadcast(levels(shingle_sketch(docs, k, bits)))
+    shift = np.uint64(64 - bits)
 
     def prefixes(batches):
         for b in batches:
@@ -221,16 +222,30 @@ def index_lists(docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) ->
     return store.write(rows.repartition("token").sortWithinPartitions("token", "pos", "n", "doc").mapInArrow(lead, "token long, pos int, n int, doc long, lead_pos int, lead_n int, lead long"), "lists")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, with inter and the sizes, by their whole sets.
+def parity(h: np.ndarray) -> np.ndarray:
+    """A set's parity bits, two or more for each element: bit ``h % B`` flips for each ``h``; B is a power of 2."""
+    b = max(64, 1 << (2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(b - 1)).astype(np.int64), minlength=b).astype(np.uint8) & 1, bitorder="little")
+
+
+def parity_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of |A ^ B|: bits in which the parities differ, the longer one folded to the shorter."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
 
-    The set of ``b`` goes to each of its pairs; the set of ``a`` goes once to each
+def _beside(docs: DataFrame, pairs: DataFrame, k: int, form, test, columns: str) -> DataFrame:
+    """Bring what ``form`` makes of both sets of each pair (a, b) together and emit what ``test`` returns, if anything.
+
+    What is made of ``b`` goes to each of its pairs; that of ``a`` goes once to each
     1,024 pairs that it has, so a hub of any degree is split.
     """
-    spark = docs.sparkSession
-    marks = spark.sparkContext.broadcast(id_filter(pairs.select("a").union(pairs.select("b"))))
+    marks = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("a").union(pairs.select("b"))))
 
-    def sets(batches):
+    def items_of(batches):
         filt = np.frombuffer(marks.value, np.uint8)
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy()
@@ -238,34 +253,51 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
             wanted = ((filt[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
             b = b.filter(pa.array(wanted))
             for rows, h, first in _sets(b.column(1), k):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(rows)), pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(rows)), pa.array(np.diff(first), pa.int32()), pa.array([form(h[x:y]).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "n", "items"])
+
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def check(batches):
         hub, mine = None, []
         for batch in batches:
             out = []
-            for a, salt, b, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, salt, b, n, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if hub != (a, salt):
                     hub, mine = (a, salt), []
-                x = np.frombuffer(items, np.uint64)
                 if b is None:
-                    mine.append(x)
+                    mine.append((n, items))
                     continue
-                for y in mine:
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    inter = int((both[1:] == both[:-1]).sum())
-                    if inter and inter >= need(len(x), len(y), num, den):
-                        out.append((a, b, inter, len(y), len(x)))
+                out += [(a, b, *found) for n_a, x in mine if (found := test(n_a, x, n, items)) is not None]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "inter", "n_a", "n_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
-    items = docs.mapInArrow(sets, "doc long, items binary")
+    items = docs.mapInArrow(items_of, "doc long, n int, items binary")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("salts"))
     of_b = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b").join(items.withColumnRenamed("doc", "b"), "b")
     of_a = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")).join(items.withColumnRenamed("doc", "a"), "a")
-    rows = of_b.select("a", "salt", "b", "items").union(of_a.select("a", "salt", "b", "items"))
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long, inter long, n_a long, n_b long")
+    rows = of_b.select("a", "salt", "b", "n", "items").union(of_a.select("a", "salt", "b", "n", "items"))
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(check, columns)
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, with inter and the sizes, by their whole sets.
+
+    Parity bits, a thirtieth of a set's bytes, go first: pairs whose bits differ in
+    more places than linked sets can are out for certain. Whole sets shuffle for the rest.
+    """
+
+    def near(n_a, x, n_b, y):
+        apart = parity_distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+        return () if (n_a + n_b - apart) // 2 >= need(n_a, n_b, num, den) else None
+
+    def linked(n_a, x, n_b, y):
+        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+        both.sort()
+        inter = int((both[1:] == both[:-1]).sum())
+        return (inter, n_a, n_b) if inter and inter >= need(n_a, n_b, num, den) else None
+
+    left = store.write(_beside(docs, pairs, k, parity, near, "a long, b long").distinct(), "near")
+    return _beside(docs, left, k, lambda h: h, linked, "a long, b long, inter long, n_a long, n_b long")
 
 
 def cross_pairs(lists: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -337,7 +369,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = store.write(signatures(docs, k), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = store.write(some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    lists = index_lists(docs, classes.select("rep").distinct(), k, num, den)
+    shingles = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    lists = index_lists(docs, classes.select("rep").distinct(), shingles, k, num, den)
 
     n1, n2, p1, p2 = (F.col(c).cast("long") for c in ("n", "lead_n", "pos", "lead_pos"))
     near = (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (F.least(n1 - p1, n2 - p2) * (num + den) >= num * (n1 + n2))
