@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,11 @@ def terms(w: text.Words) -> np.ndarray:
         return text.mix((total[end] - total[start]) * inverse[start])
 
 
+def _words(col: pa.Array, chunk: int = text.CHUNK):
+    """Words with letters of every script in lower case."""
+    return text.words(pc.utf8_lower(col), chunk)
+
+
 class Lookup:
     """Term numbers of hashes; len(terms) for other words. A table of 2**18 marks skips most searches."""
 
@@ -97,7 +103,7 @@ def document_frequencies(docs: DataFrame, lookup, size: int) -> tuple[np.ndarray
     def count(batches):
         total, n = np.zeros(size, np.int64), 0
         for b in batches:
-            for w in text.words(b.column(0)):
+            for w in _words(b.column(0)):
                 t = lookup.value(terms(w))
                 n += len(w.rows)
                 step = max(1, 8_000_000 // (size + 1))
@@ -133,7 +139,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, lookup, rank: int, seed
             q, idf = sent.value
             y = np.zeros(q.shape, np.float32)
             for b in batches:
-                for w in text.words(b.column(0)):
+                for w in _words(b.column(0)):
                     t = lookup.value(terms(w))
                     row = np.repeat(np.arange(len(w.rows)), np.diff(w.first))
                     row, t = row[t < len(idf)], t[t < len(idf)]
@@ -185,8 +191,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _find_block(docs, items, doc_kind, item_kind, min_cosine, min_norm, min_weight, min_lcs, min_lcs_with_answer, min_words, rank):
     spark = docs.sparkSession
     rows = items.select("item_id", "text", "answer").orderBy("item_id", "text").collect()  # block_bytes at most
-    hashes = [np.concatenate([terms(w) for w in text.words(pa.array([r.text]))]) for r in rows]
-    answers = [np.concatenate([terms(w) for w in text.words(pa.array([r.answer]))]) if r.answer else h[-max(3, len(h) // 5) :] for r, h in zip(rows, hashes, strict=True)]
+    hashes = [np.concatenate([terms(w) for w in _words(pa.array([r.text]))]) for r in rows]
+    answers = [np.concatenate([terms(w) for w in _words(pa.array([r.answer]))]) if r.answer else h[-max(3, len(h) // 5) :] for r, h in zip(rows, hashes, strict=True)]
     keep = [i for i, h in enumerate(hashes) if len(h) >= min_words]
     known = np.unique(np.concatenate([hashes[i] for i in keep])) if keep else np.zeros(1, np.uint64)
     send = spark.sparkContext.broadcast
@@ -209,7 +215,7 @@ def _find_block(docs, items, doc_kind, item_kind, min_cosine, min_norm, min_weig
         bags = [(t, many, many * idf[t], min_weight * float((many * idf[t]).sum())) for t, many in bags]
         for b in batches:
             out = []
-            for w in text.words(b.column(1), 1 << 18) if len(vec) else ():
+            for w in _words(b.column(1), 1 << 18) if len(vec) else ():
                 t = lookup.value(terms(w))
                 n = np.diff(w.first)
                 blocks = -(-n // STRIDE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, jaccard_join, line_dedup, mixing, pseudo_likelihood, rule_ensemble, token_planes, toxicity
+from . import decontaminate, divergence, jaccard_join, line_dedup, mixing, pseudo_likelihood, rule_ensemble, secrets, token_planes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,17 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(_table(spark, sf_dir, "documents"), path_col="source")
+    return out.select("doc_id", "at", "kind", F.length("value").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_divergence, op5_rule_ensemble, op6_mixing, op7_token_planes, op9_pseudo_likelihood, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_jaccard_join, op3_toxicity, op4_divergence, op5_rule_ensemble, op6_mixing, op7_token_planes, op8_secret_forest, op9_pseudo_likelihood, op10_decontaminate, pipeline)}
 
 _KEY = r"lower(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''))"
 
