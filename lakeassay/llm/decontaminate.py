@@ -172,6 +172,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, lookup, rank: int, seed
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, min_cosine: float = 0.9, min_norm: float = 0.15, min_weight: float = 0.45, min_lcs: float = 0.6, min_lcs_with_answer: float = 0.4, min_words: int = 8, rank: int = RANK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, item_words, answer_found), a row for each benchmark item found in a document."""
+    store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
     items = store.write(items.withColumn("block", F.lit(0)), "items")

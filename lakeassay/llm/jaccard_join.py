@@ -365,6 +365,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The links join every pair of different sets that link into one component; pairs
     that two links already join are not all listed.
     """
+    store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = store.write(signatures(docs, k), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")

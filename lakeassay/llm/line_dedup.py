@@ -122,6 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if min_docs < 2:
         raise ValueError("min_docs is at least 2")
     spark = docs.sparkSession
+    store.small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     seen = spark.sparkContext.broadcast(repeat_filter(docs, min_chars, filter_bits))

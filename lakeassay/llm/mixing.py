@@ -106,6 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     third of all rows has as many buckets as it needs), each towards its own share
     of the target, in the order (size descending, doc_id), so reruns agree.
     """
+    store.small_batches(docs.sparkSession)
     sized = store.write(word_counts(docs, id_col, text_col, source_col), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     # One row a source, written so that neither the sums nor the steps run twice.

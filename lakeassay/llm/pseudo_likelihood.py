@@ -263,6 +263,7 @@ def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDE
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, pll (sum of log-probabilities), mean_pll, for every document, by a network fitted on all of them."""
+    store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("text"), **options))
 

@@ -191,6 +191,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, bins: int
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_out: int = 2, threshold: float = 0.7, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted, for every document. Labels of the held-out fold are never read."""
+    store.small_batches(docs.sparkSession)
     stats = store.write(with_statistics(docs, id_col, text_col), "stats")
     chosen = sample(labels, label_col, folds, held_out, max_train)
     rows = stats.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *STATS).limit(max_train).toPandas()  # the sample's bound holds for both

@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lakeassay_scratch"
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let the session send Python workers 4 MiB at once at most (64 by default): long texts then need little memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, str(size))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted at the latest when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/lakeassay-{uuid.uuid4().hex[:12]}-{name}"

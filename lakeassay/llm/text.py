@@ -9,6 +9,8 @@ stand.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-CHUNK = 1 << 20  # bytes of text that are worked on at once
+CHUNK = 1 << 18  # bytes of text that are worked on at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,10 +52,22 @@ def _tables():
     return low, space, value
 
 
+def kept() -> dict:
+    """What a worker process keeps from task to task (functions arrive by value, so their modules keep nothing)."""
+    return sys.modules.setdefault("_lakeassay_kept", types.ModuleType("_lakeassay_kept")).__dict__
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+    """base**0 to base**(n-1), n being at least 1; those of a usual chunk are kept."""
+    found = kept().get(("powers", base))
+    if found is not None and len(found) >= n:
+        return found
+    out = np.full(max(n, CHUNK + 1), base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= CHUNK + 1:
+        kept()["powers", base] = out
+    return out
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +82,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(col: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[Words]:
     """Every row of ``col`` once, whole, in order; at least one row at a time."""
+    kept().pop("encoder", None)  # a worker that turns to other work lets its tokenizer go
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if not len(col):

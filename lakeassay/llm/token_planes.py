@@ -21,8 +21,6 @@ by their token ids; an empty table gives an empty table.
 from __future__ import annotations
 
 import json
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,7 @@ MAGIC = b"LPL1"
 BLOCK = 1 << 12
 CHUNK_IDS = 1 << 18
 MAX_VOCABULARY_BYTES = 64 << 20
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 
 
 def encode_planes(ids: np.ndarray, width: int = 8, block: int = BLOCK) -> list[bytes]:
@@ -120,7 +118,7 @@ class Encoder:
         self.newline = newline[0] if len(newline) else 0
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.key = np.zeros((2, SLOTS), np.uint64)
-        self.at = np.zeros((2, SLOTS), np.int64)
+        self.at = np.zeros((2, SLOTS), np.int32)
         self.n = np.zeros((2, SLOTS), np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -192,10 +190,7 @@ class Encoder:
                 yield np.array(whole.get(i, ()), np.uint32)
 
     def _tables(self, n: int):
-        if getattr(self, "_pow", (np.zeros(0),))[0].shape[0] < n:
-            n = max(n, text.CHUNK + 1)
-            self._pow = (text._powers(n, text._P), text._powers(n, text._PINV))
-        return self._pow
+        return text._powers(n, text._P), text._powers(n, text._PINV)
 
     def _find(self, h: np.ndarray):
         mask = np.uint64(SLOTS - 1)
@@ -259,11 +254,10 @@ class Encoder:
 
 def encoder(model: str) -> Encoder:
     """The process's encoder for a model, kept from task to task."""
-    kept = sys.modules.setdefault("_lakeassay_encoders", types.ModuleType("_lakeassay_encoders")).__dict__
-    key = f"{len(model)}-{hash(model)}"
-    if key not in kept:
-        kept[key] = Encoder(model)
-    return kept[key]
+    kept = text.kept()
+    if kept.get("encoder", (None,))[0] != model:
+        kept["encoder"] = (model, Encoder(model))
+    return kept["encoder"][1]
 
 
 def _read_model(path: str) -> str:
@@ -284,6 +278,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     if width not in (1, 8):
         raise ValueError("width is 1 or 8")
     spark = docs.sparkSession
+    store.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 100 * shards)).first()[0] or []

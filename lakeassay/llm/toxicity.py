@@ -245,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held_out: int = 1, threshold: float = 0.7, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, for every document. Labels of the held-out fold are never read."""
+    store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, folds, held_out, **options))
 
