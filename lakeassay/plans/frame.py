@@ -77,7 +77,7 @@ def canonical(df: DataFrame, row_id: str | None = None) -> Frame:
         elif kind == "str":
             c = c.cast("string")
         else:
-            c = c if kind == "bool" else F.to_json(F.struct(c.alias("v"))) if not isinstance(t, T.BinaryType) else F.hex(c)
+            c = c if kind == "bool" else F.hex(c) if isinstance(t, T.BinaryType) else F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
         out.append(c.alias(name))
         kinds[name] = kind
     if row_id is not None:
