@@ -45,19 +45,21 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     solid = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(_WHITE)) != "")
     n = F.size("ws").cast("long")
     hashes = F.transform("ws", lambda w: F.xxhash64(w))
-    d = d.withColumn("n_words", n).withColumn("hs", hashes).withColumn("solid", solid)
-    lower = F.concat(F.lit(" "), F.lower(F.array_join("ws", "  ")), F.lit(" "))
+    d = d.withColumn("joined", F.array_join("ws", "  ")).withColumn("n_words", n).withColumn("hs", hashes).withColumn("solid", solid)
+    lower = F.concat(F.lit(" "), F.lower("joined"), F.lit(" "))
     words = F.lit(None)
     for lang, common in COMMON_WORDS.items():
         words = F.when(F.col("lang") == lang, F.array(*map(F.lit, common))).otherwise(words)
     d = d.withColumn("low", lower).withColumn("common", F.coalesce(words, F.array(*map(F.lit, COMMON_WORDS["en"]))))
     length = F.length("t")
-    upper, digit, symbols, bang, stop, white = (F.regexp_count("t", F.lit(c)).cast("long") for c in ("[A-Z]", "[0-9]", "[#*$%&|<>]", "[!?]", "[.,;:]", r"[\x20\x09-\x0D]"))
+    upper, digit, symbols, bang, stop = (F.regexp_count("t", F.lit(c)).cast("long") for c in ("[A-Z]", "[0-9]", "[#*$%&|<>]", "[!?]", "[.,;:]"))
+    word_chars = (F.length("joined") - 2 * F.greatest(n - 1, F.lit(0))).cast("long")
+    white = length.cast("long") - word_chars
     low = F.col("low")
     hits = F.transform("common", lambda w: ((F.length(low) - F.length(F.replace(low, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long"))
     return d.select(
         "doc_id", "lang", "n_words", repeat_words(F.col("hs")).alias("n_repeat_words"),
-        (length.cast("long") - white).alias("word_chars"), symbols.alias("n_symbols"),
+        word_chars.alias("word_chars"), symbols.alias("n_symbols"),
         (F.size("solid") - F.size(F.array_distinct("solid"))).cast("long").alias("n_dup_lines"),
         F.array(upper, digit, symbols, bang, stop, white).alias("classes"), length.cast("long").alias("n_chars"), hits.alias("hits"),
     )
@@ -66,11 +68,14 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
 def repeat_words(hs: Column) -> Column:
     """Words within windows of 8 that occur twice or more, the first occurrence included.
 
-    Windows are hashes of 8 word hashes. Only if some are equal are they sorted with
+    Windows are hashes over 8 word hashes. Only if some are equal are they sorted with
     their places; each place whose neighbour is equal covers up to the next covered place.
     """
     def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+        # Of pairs' hashes, so that each is four look-ups and not a copy of eight words.
+        pairs = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
+        all_ = _let(pairs, lambda p: F.transform(p, lambda x, i: F.xxhash64(x, F.get(p, i + 2), F.get(p, i + 4), F.get(p, i + 6))))
+        return F.slice(all_, F.lit(1), F.size(h) - (WINDOW - 1))
 
     def covered(w: Column) -> Column:
         ranked = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
