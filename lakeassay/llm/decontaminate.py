@@ -16,7 +16,7 @@
 
 A document's windows are compared with all items of a block of the benchmark, in
 the task that reads the document, so no text shuffles and no pair of rows is made.
-A benchmark of any size passes in blocks whose bytes are checked.
+A benchmark of any size passes in blocks whose bytes and items are checked.
 
 Edge cases: null and empty texts match nothing; items with fewer than ``min_words``
 words are too short to prove anything and match nothing; repeated items and rows
@@ -38,6 +38,7 @@ WINDOW = 24
 STRIDE = 8
 RANK = 64
 BLOCK_BYTES = 4 << 20
+BLOCK_ITEMS = 256  # four times the rank: more items would crowd the latent space
 TABLE_BITS = 18
 
 
@@ -166,18 +167,20 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, lookup, rank: int, seed
         y = np.zeros_like(q)
         for lo, part in passages.select("text").mapInArrow(multiply, "block int, y binary").repartition("block").mapInArrow(merge, "block int, y binary").collect():
             y[lo : lo + step] = np.frombuffer(bytes(part), np.float32).reshape(-1, q.shape[1])
-        q = np.linalg.qr(y)[0].astype(np.float32)
+        # Directions that no passage has would only let noise in.
+        u, sigma, _ = np.linalg.svd(y, full_matrices=False)
+        q = u[:, sigma > 1e-4 * max(float(sigma[0]), 1e-12)].astype(np.float32)
     return q
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, min_cosine: float = 0.9, min_norm: float = 0.15, min_weight: float = 0.45, min_lcs: float = 0.6, min_lcs_with_answer: float = 0.4, min_words: int = 8, rank: int = RANK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, min_cosine: float = 0.9, min_norm: float = 0.15, min_weight: float = 0.45, min_lcs: float = 0.6, min_lcs_with_answer: float = 0.4, min_words: int = 8, rank: int = RANK, block_bytes: int = BLOCK_BYTES, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, item_words, answer_found), a row for each benchmark item found in a document."""
     store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer"))
     items = store.write(items.withColumn("block", F.lit(0)), "items")
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = -(-total // block_bytes)
+    total, n = items.agg(F.sum(F.octet_length("text") + 64), F.count(F.lit(1))).first()
+    parts = max(-(-(total or 0) // block_bytes), -(-n // block_items))
     found = None
     for k in range(parts):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items

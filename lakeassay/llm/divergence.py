@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
+MAX_LANGUAGES = 10_000
 _GAP = r"[\x20\x09-\x0D]+"
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -129,8 +130,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counted = store.write(counts(docs, id_col, text_col, lang_col).withColumn("base_failed", failed), "counts")
 
     def measured(among: DataFrame) -> DataFrame:
-        # One row a language of the table; joined on the language, so nothing is assumed of its size.
-        judged = counted.join(references(among, n_bins), "lang", "left")
+        # One row a language: sent to every task if they are counted to be few, else joined like any table.
+        known = store.write(references(among, n_bins), "references")
+        judged = counted.join(F.broadcast(known) if known.count() <= MAX_LANGUAGES else known, "lang", "left")
         enough = F.coalesce(F.col("ref_words") >= min_reference, F.lit(False))
         by_class = F.when(enough & (F.col("n_chars") >= min_chars), js_distance(_shares(F.col("classes").cast("array<double>"), F.col("n_chars").cast("double")), F.col("ref_classes")))
         by_common = F.when(enough & (F.col("n_words") >= min_common), js_distance(_shares(F.col("hits").cast("array<double>"), F.col("n_words").cast("double")), F.col("ref_common")))

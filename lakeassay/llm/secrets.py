@@ -34,6 +34,7 @@ KINDS = (
 )
 ASSIGNED = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|auth|credential)s?[\"']?\s*[:=]+>?\s*[\"']?([^\s\"',;]{6,})"
 RUN = r"[A-Za-z0-9+/_=\-]{16,}"
+STARTS = r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|[spr]k[_\-]|eyJ|://"
 TELLING = r"(?i)passw|pwd|secret|token|api[_\-]?key|apikey|auth|credential|bearer|private|access[_\-]?key"
 DOUBTFUL = r"(?i)example|dummy|placeholder|changeme|sha-?1|sha-?256|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|integrity|your|build|version|test"
 ODD_PATH = r"(?i)(?:^|[/_.\-])(?:tests?|specs?|examples?|samples?|fixtures?|mocks?|docs?|vendor|node_modules|lock)(?:[/_.\-]|$)"
@@ -52,7 +53,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, path, at (number of the word, from 0), word, before, after (neighbours), value, kind."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     # Most texts have nothing that could be part of a candidate; they stop here.
-    some = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"[0-9]") | F.col("t").rlike(TELLING))
+    some = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"[0-9]") | F.col("t").rlike(TELLING) | F.col("t").rlike(STARTS))
     words = some.select("doc_id", "path", F.split("t", r"[\x20\x09-\x0D]+").alias("ws"), F.lit(1).alias("one"))
     known = "|".join(p for _, p in KINDS)
     long_run = lambda w: w.rlike(RUN) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
