@@ -7,7 +7,7 @@ never linked with another, judged by its own text, and kept by the filters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeassay.llm import decontaminate, jaccard_join, mixing, rule_ensemble, store, token_planes
@@ -32,10 +32,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates."""
+    """One document, the smallest id, of each group of near duplicates; of rows that share that id, the first by their columns."""
     with _stage(spark):
         members, _ = jaccard_join.near_duplicates(docs)
-        return _without(docs, members.where("component_id <> doc_id").select("doc_id"))
+        kept = _without(docs, members.where("component_id <> doc_id").select("doc_id"))
+        repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
+        if not repeated.limit(1).count():
+            return kept
+        again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
+        return _without(kept, repeated).unionByName(again.withColumn("_place", place).where("_place = 1").drop("_place"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

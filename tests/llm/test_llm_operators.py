@@ -269,6 +269,48 @@ def test_divergence(spark, texts):
     assert not re.search("Python|Arrow|Pandas", plan._jdf.queryExecution().executedPlan().toString())
 
 
+def plain_verdicts(rows, max_class, max_common):
+    """Verdicts of documents of one language, made with plain loops."""
+    words = divergence.COMMON_WORDS["en"]
+    found = {}
+    for i, t in rows:
+        t = t or ""
+        n, chars, symbols, _, covered = plain_counts(t)
+        low = [w.lower() for w in re.split(f"{WS}+", t) if w]
+        classes = [len(re.findall(p, t)) for p in ("[A-Z]", "[0-9]")] + [symbols] + [len(re.findall(p, t)) for p in ("[!?]", "[.,;:]")] + [len(t) - chars]
+        found[i] = (n, len(t), classes, [low.count(w) for w in words], n < 20 or 100 * covered > 30 * n)
+
+    def shares(bins, total):
+        return np.array([*bins, max(0, total - sum(bins))]) / total
+
+    def distance(p, q):
+        m = (p + q) / 2
+        return sum(sum(x * np.log2(x / y) for x, y in zip(a, m) if x > 0) / 2 for a in (p, q)) ** 0.5
+
+    def distances(among):
+        n, chars = sum(found[i][0] for i in among), sum(found[i][1] for i in among)
+        classes, common = (shares(np.sum([found[i][k] for i in among], axis=0), total) for k, total in ((2, chars), (3, n)))
+        return {i: (distance(shares(v[2], v[1]), classes) if v[1] >= 300 else None, distance(shares(v[3], v[0]), common) if v[0] >= 100 else None) for i, v in found.items()}
+
+    first = distances([i for i, v in found.items() if not v[4]])
+    second = distances([i for i, v in found.items() if not v[4] and None not in first[i] and first[i][0] <= max_class and first[i][1] <= max_common])
+    return {i: (*d, not found[i][4] and not (d[0] or 0) > max_class and not (d[1] or 0) > max_common) for i, d in second.items()}
+
+
+def test_divergence_verdicts_equal_plain_ones(spark):
+    rng = random.Random(14)
+    common = divergence.COMMON_WORDS["en"]
+    say = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else word(rng) for _ in range(n)).capitalize() + "."
+    rows = [(i, say(rng.randint(1, 300))) for i in range(150)]
+    rows += [(200 + i, rng.choice([say(150).upper(), prose(rng, 150), "% ".join(say(150).split()), "1 2 3 " + say(30)])) for i in range(30)] + [(300, None)]
+    got = {r.doc_id: r for r in divergence.judge(docs_df(spark, rows).withColumn("lang", labelled.F.lit("en"))).collect()}
+    for i, (a, b, kept) in plain_verdicts(rows, 0.23, 0.275).items():
+        assert got[i].kept == kept
+        for x, y in ((got[i].class_distance, a), (got[i].common_distance, b)):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
+    assert 0 < sum(r.kept for r in got.values()) < 170
+
+
 def test_js_distance(spark):
     F = labelled.F
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([0.2, 0.8], [0.6, 0.4])], "p array<double>, q array<double>")

@@ -56,3 +56,9 @@ def test_documents_without_id_pass_the_filters(spark):
     with_null = docs.limit(40).unionByName(docs.where("doc_id = 3").selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars"))
     out = corpus_pipeline.near_duplicates(spark, with_null, SF)
     assert out.where("doc_id IS NULL").count() == 1
+
+
+def test_repeated_rows_leave_one(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    out = corpus_pipeline.near_duplicates(spark, docs.union(docs.limit(7)), SF)
+    assert out.columns == docs.columns and max(collections.Counter(ids(out)).values()) == 1
