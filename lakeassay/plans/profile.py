@@ -43,8 +43,24 @@ def frequencies(frame: Frame, names: list[str] | None = None) -> DataFrame:
 
     The only shuffle by value: it gives distinct counts, first values, sentinels,
     formats and collisions, and its map side has combined the frequent values.
+    Numbers, booleans and times are grouped as what they are and written as text
+    once a distinct value, not once a row.
     """
-    return unpivoted(frame, frame.columns if names is None else names).groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
+    names = frame.columns if names is None else names
+    kinds = [frame.kinds[c] for c in names]
+    empty = {"i": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
+
+    def key(k: int, name: str) -> Column:
+        kind, c = kinds[k], col(name)
+        slot = {"int64": ("i", c), "bool": ("i", c.cast("long")), "datetime64[ns]": ("i", F.unix_micros(c)), "float64": ("d", c)}.get(kind, ("s", c.cast("string")))
+        return F.struct(F.lit(k).alias("k"), *[(slot[1] if x == slot[0] else v).alias(x) for x, v in empty.items()])
+
+    some = F.filter(F.array(*[key(k, c) for k, c in enumerate(names)]), lambda p: p["i"].isNotNull() | p["d"].isNotNull() | p["s"].isNotNull())
+    rows = frame.df.select(ROW_ID, F.explode(some).alias("p")).select(ROW_ID, "p.*")
+    counted = rows.groupBy("k", "i", "d", "s").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
+    of = lambda kind: F.col("k").isin(*[k for k, x in enumerate(kinds) if x == kind]) if kind in kinds else F.lit(False)
+    value = F.when(of("bool"), F.when(F.col("i") == 1, "true").otherwise("false")).when(of("datetime64[ns]"), F.timestamp_micros("i").cast("string"))
+    return counted.select("k", value.otherwise(F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))).alias("value"), "n", "first_row")
 
 
 def first_values(freq: DataFrame, k: int) -> DataFrame:
