@@ -24,8 +24,8 @@ def pearson(a: str, b: str) -> Column:
     return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
-def average_ranks(df: DataFrame, name: str) -> DataFrame:
-    """(value, rank): the mean place of each distinct value among all rows.
+def average_ranks(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(value, rank): the mean place of each distinct value among all rows; and what to unpersist once it was read.
 
     Distinct values are counted, dealt out by range, ranked within each part, and
     moved by the rows of the parts before; no sort ever meets in one task.
@@ -37,13 +37,18 @@ def average_ranks(df: DataFrame, name: str) -> DataFrame:
         start[r.part], at = at, at + r.n
     offset = F.get(F.lit([start.get(k, 0) for k in range(max(start, default=0) + 1)]), F.col("part"))
     w = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.select("value", (offset + F.sum("n").over(w) - (F.col("n") - 1) / 2).alias("rank"))
+    return ranged.select("value", (offset + F.sum("n").over(w) - (F.col("n") - 1) / 2).alias("rank")), ranged
 
 
 def spearman(df: DataFrame, a: Column, b: Column) -> float | None:
     pairs = df.select(a.cast("double").alias("a"), b.cast("double").alias("b")).where(X.finite(F.col("a")) & X.finite(F.col("b")))
-    ra, rb = (average_ranks(pairs, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")) for c in ("a", "b"))
-    return correlation(pairs.join(ra, "a").join(rb, "b"), F.col("ra"), F.col("rb"))
+    ranks = {c: average_ranks(pairs, c) for c in ("a", "b")}
+    ra, rb = (r.select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")) for c, (r, _) in ranks.items())
+    try:
+        return correlation(pairs.join(ra, "a").join(rb, "b"), F.col("ra"), F.col("rb"))
+    finally:
+        for _, held in ranks.values():
+            held.unpersist()
 
 
 def cramers_v(df: DataFrame, a: Column, b: Column) -> tuple[float | None, int, int, int]:
