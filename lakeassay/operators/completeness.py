@@ -63,7 +63,10 @@ def find(ctx: Context) -> list:
 
 def _numeric_sentinels(ctx: Context) -> list:
     names = [c for c in ctx.frame.numeric() if ctx.frame.kinds[c] != "bool" and ctx.by_name[c].finite_count >= 10]
-    hits = in_batches(ctx.df, {(c, s): F.count(F.when(col(c) == s, 1)) for c in names for s in V.NUMERIC_SENTINELS})
+    # Distinct values tell which codes occur; a code is written with a point if the column is a float.
+    codes = {str(s): s for s in V.NUMERIC_SENTINELS} | {f"{s}.0": s for s in V.NUMERIC_SENTINELS}
+    seen = {(ctx.frame.columns[r.k], codes[r.value]): r.n for r in ctx.freq.where(F.col("value").isin(*codes)).select("k", "value", "n").collect()}
+    hits = {(c, s): seen.get((c, s), 0) for c in names for s in V.NUMERIC_SENTINELS}
     found = [k for k, n in hits.items() if n and ctx.by_name[k[0]].finite_count - n >= 5]
     aggs: dict = {}
     for c, s in found:

@@ -10,7 +10,7 @@ from ..functions import exprs as X
 from ..functions import names as N
 from ..plans.context import Context, Evidence, col, finding
 from ..plans.frame import number
-from ..plans.profile import in_batches
+from ..plans.profile import in_batches, numeric_stats
 
 NAME = "distribution"
 BENFORD = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
@@ -41,12 +41,8 @@ def find(ctx: Context) -> list:
     flat = [c for c in names if quart[c][2] <= quart[c][0]]
     mads = in_batches(ctx.df, {c: F.percentile(F.abs(x[c] - F.lit(quart[c][1])), 0.5) for c in flat})
     limit = {c: bounds(*quart[c], mads.get(c, 0.0)) for c in names}
-    aggs: dict = {}
-    for c in names:
-        lo, hi = limit[c]
-        aggs["out", c] = F.count(F.when((x[c] > hi) | (x[c] < lo), 1))
-        aggs["skew", c], aggs["kurt", c] = F.skewness(x[c]), F.kurtosis(x[c])
-    got = in_batches(ctx.df, aggs)
+    shape = {"out": lambda v, lo, hi: F.count(F.when((v > hi) | (v < lo), 1)), "skew": lambda v, *_: F.skewness(v.cast("double")), "kurt": lambda v, *_: F.kurtosis(v.cast("double"))}
+    got = numeric_stats(ctx.frame, shape, names, {"lo": [limit[c][0] for c in names], "hi": [limit[c][1] for c in names]})
     money = [c for c in names if _benford_applies(ctx.by_name[c])]
     digits = in_batches(ctx.df, {(c, d): F.count(F.when(X.leading_digit(x[c]) == d, 1)) for c in money for d in BENFORD})
     out = []

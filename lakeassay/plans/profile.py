@@ -14,6 +14,7 @@ from .frame import ROW_ID, Frame, col, number
 from .model import ColumnProfile, Summary, clean_cell
 
 BATCH = 90  # aggregates in one query; more would not compile into one method
+WIDE = 64
 FIRST_VALUES, FIRST_ROWS = 200, 20
 
 
@@ -28,6 +29,38 @@ def in_batches(df: DataFrame, aggregates: dict[str, Column], size: int = BATCH)
     return out
 
 
+def numeric_stats(frame: Frame, stats: dict, names: list[str] | None = None, lists: dict[str, list] | None = None) -> dict:
+    """Aggregates of the finite values of each number column, as {(statistic, column): value}.
+
+    A table of up to ``WIDE`` number columns is aggregated column by column in one
+    scan; a wider one as rows (column, value), so that the plan does not grow with
+    the columns. ``lists`` has a value for each column, which a statistic reaches as
+    its further arguments.
+    """
+    names = frame.numeric() if names is None else names
+    lists = lists or {}
+    if len(names) <= WIDE:
+        aggs = {}
+        for j, c in enumerate(names):
+            x = number(frame, c)
+            for s, f in stats.items():
+                aggs[s, c] = f(F.when(X.finite(x), x), *[F.lit(v[j]) for v in lists.values()])
+        return in_batches(frame.df, aggs)
+    out: dict = {}
+    for whole in (True, False):  # long integers stay exact
+        part = [(j, c) for j, c in enumerate(names) if (frame.kinds[c] != "float64") == whole]
+        if not part:
+            continue
+        kind = "long" if whole else "double"
+        pairs = F.array(*[F.struct(F.lit(j).alias("j"), number(frame, c).cast(kind).alias("x")) for j, c in part])
+        rows = frame.df.select(F.explode(pairs).alias("p")).select("p.*")
+        x = F.when(X.finite(F.col("x")), F.col("x"))
+        more = [F.get(F.lit([float(y) for y in v]), F.col("j")) for v in lists.values()]
+        for r in rows.groupBy("j").agg(*[f(x, *more).alias(s) for s, f in stats.items()]).collect():
+            out.update({(s, names[r.j]): r[s] for s in stats})
+    return {(s, c): out.get((s, c)) for c in names for s in stats}
+
+
 def as_text(frame: Frame, name: str) -> Column:
     return col(name).cast("string")
 
@@ -119,20 +152,9 @@ def profile(frame: Frame, freq: DataFrame | None = None) -> tuple[Summary, list[
     into a frame without nullable integers.
     """
     freq = frequencies(frame) if freq is None else freq
-    aggs: dict = {"rows": F.count(F.lit(1))}
-    for c in frame.columns:
-        aggs["n", c] = F.count(col(c))
-        aggs["bytes", c] = F.sum(F.octet_length(col(c))) if frame.kinds[c] in ("str", "other") else F.count(col(c)) * (1 if frame.kinds[c] == "bool" else 8)
-    for c in frame.numeric():
-        x = number(frame, c)
-        ok = F.when(X.finite(x), x)
-        d = ok.cast("double")
-        aggs["finite", c], aggs["min", c], aggs["max", c] = F.count(ok), F.min(ok), F.max(ok)
-        aggs["mean", c], aggs["std", c] = F.avg(d), F.stddev_samp(d)
-        aggs["quartiles", c] = F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = in_batches(frame.df, aggs)
-    rows = int(got["rows"])
-    unique = {r.k: r.u for r in freq.groupBy("k").agg(F.count(F.lit(1)).alias("u")).collect()}
+    rows = frame.df.count()
+    got = numeric_stats(frame, {"finite": F.count, "min": F.min, "max": F.max, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")), "quartiles": lambda c: F.percentile(c.cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
+    totals = {r.k: r for r in freq.groupBy("k").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"), F.sum(F.col("n") * F.octet_length("value")).alias("bytes")).collect()}
     values: dict[int, list[str]] = {}
     for r in sorted(first_values(freq, FIRST_VALUES).collect(), key=lambda r: (r.k, r.place)):
         values.setdefault(r.k, []).append(r.value)
@@ -144,7 +166,7 @@ def profile(frame: Frame, freq: DataFrame | None = None) -> tuple[Summary, list[
             head.setdefault(frame.columns.index(texts[r.k]), []).append((r.value, r.hit))
     out = []
     for k, c in enumerate(frame.columns):
-        non_null, u = int(got["n", c]), int(unique.get(k, 0))
+        non_null, u = (int(totals[k].n), int(totals[k].u)) if k in totals else (0, 0)
         kind = frame.kinds[c]
         if kind == "int64" and non_null < rows:
             kind = "float64"
@@ -156,7 +178,8 @@ def profile(frame: Frame, freq: DataFrame | None = None) -> tuple[Summary, list[
         null_ratio = nulls / rows if rows else 0.0
         p = ColumnProfile(c, kind if kind != "other" else "object", sem, non_null, nulls, round(null_ratio, 4), u, round(ratio, 4))
         p.sample_values = [clean_cell(_typed(v, frame.kinds[c], kind)) for v in values.get(k, [])[:5]]
-        p.memory_bytes = int(got["bytes", c] or 0)
+        width = {"bool": 1, "str": None, "other": None}.get(frame.kinds[c], 8)
+        p.memory_bytes = int(totals[k].bytes if width is None else width * non_null) if k in totals else 0
         p.is_candidate_identifier = bool((u == rows and rows > 1 and nulls == 0 and kind != "float64" and sem != "free_text") or (sem == "identifier" and ratio > 0.95 and null_ratio <= 0.05))
         p.is_constant_or_near_constant = non_null > 0 and u <= 1
         if c in frame.numeric() and got["finite", c]:

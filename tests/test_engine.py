@@ -235,3 +235,14 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got == [(0, 200)]
+
+
+def test_wide_tables_give_the_same(spark, monkeypatch):
+    from lakeassay.plans import profile
+
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(3000).selectExpr("*", "IF(l_linenumber = 7, -999, l_partkey) AS part_code", "l_tax > 0.04 AS taxed", "CAST(l_partkey * 1000000007 AS BIGINT) AS big").coalesce(1).persist()
+    plain = lambda d: {k: v for k, v in d.to_dict().items() if k != "metadata"}
+    narrow = plain(lakeassay.investigate(df))
+    monkeypatch.setattr(profile, "WIDE", 1)
+    assert plain(lakeassay.investigate(df)) == narrow
+    df.unpersist()
