@@ -200,7 +200,7 @@ def _find_block(docs, items, doc_kind, item_kind, min_cosine, min_norm, min_weig
     keep = [i for i, h in enumerate(hashes) if len(h) >= min_words]
     known = np.unique(np.concatenate([hashes[i] for i in keep])) if keep else np.zeros(1, np.uint64)
     send = spark.sparkContext.broadcast
-    lookup = send(Lookup(known))
+    lookup = store.Shared(spark, Lookup, known)
     df, n_docs = document_frequencies(docs, lookup, len(known))
     idf = np.log((n_docs + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
     q = randomised_svd(items, idf, lookup, rank, rounds=2)

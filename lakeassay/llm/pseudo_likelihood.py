@@ -235,8 +235,8 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
     return weights
 
 
-def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDEN, rounds: int = 2, stride: int = 4, rate: float = 0.05, seed: int = 11) -> tuple[Vocabulary, list[np.ndarray]]:
-    """``docs``: (text). Returns the vocabulary and the network's weights."""
+def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDEN, rounds: int = 2, stride: int = 4, rate: float = 0.05, seed: int = 11) -> tuple[store.Shared, list[np.ndarray]]:
+    """``docs``: (text). Returns the vocabulary, shared with executors, and the network's weights."""
     counts = store.write(count_words(docs), "words")
     best = counts.orderBy(F.desc("n"), "word").limit(top + table).collect()
     words, n = np.array([r.word for r in best], np.int64).view(np.uint64), np.array([r.n for r in best], np.float64)
@@ -256,19 +256,19 @@ def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDE
     for r in counts.mapInArrow(sums, "bucket int, n double, words double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
         total[r.bucket], distinct[r.bucket] = r.n, r.words
     store.drop(counts)
-    v = Vocabulary(words, n, total, distinct, top)
-    sent = docs.sparkSession.sparkContext.broadcast(v)
-    return v, train(docs, sent, start_weights(v, hidden, seed), rounds, stride, rate)
+    v = store.Shared(docs.sparkSession, Vocabulary, words, n, total, distinct, top)
+    return v, train(docs, v, start_weights(v.value, hidden, seed), rounds, stride, rate)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, pll (sum of log-probabilities), mean_pll, for every document, by a network fitted on all of them."""
     store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("text"), **options))
+    vocabulary, fitted = fit(docs.select("text"), **options)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def measure(batches):
-        v, weights = model.value
+        v, weights = vocabulary.value, model.value
         for b in batches:
             for w in text.words(b.column(1)):
                 c, share = v(w.hash)

@@ -67,6 +67,23 @@ def drop(df: DataFrame) -> None:
         delete(df.sparkSession, f)
 
 
+class Shared:
+    """An object that executors build from plain broadcast parts: broadcasts pickle classes by name, which workers
+    without this package could not look up."""
+
+    def __init__(self, spark: SparkSession, build, *parts):
+        self._parts, self._build, self._made = spark.sparkContext.broadcast(parts), build, None
+
+    @property
+    def value(self):
+        if self._made is None:
+            self._made = self._build(*self._parts.value)
+        return self._made
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_made": None}
+
+
 @contextlib.contextmanager
 def scope(name: str):
     """Paths made inside belong to ``name``; ``sweep(name)`` deletes them."""

@@ -247,7 +247,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     """doc_id, held_out, score, predicted, for every document. Labels of the held-out fold are never read."""
     store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, folds, held_out, **options))
+    found = fit(docs, labels, label_col, folds, held_out, **options)
+    model = store.Shared(docs.sparkSession, ToxicModel, found.features, found.weights, found.bias)
 
     def score(batches):
         for b in batches:
