@@ -6,9 +6,10 @@
    vectors come from a distributed randomised SVD: tasks multiply their passages
    with a random test matrix, and small products are summed, as in subspace
    iteration.
-3. Documents are cut into overlapping windows; windows and items meet in the latent
-   space, and pairs with enough cosine similarity, and of lengths there that are not
-   too far apart, are candidates.
+3. Documents are cut into overlapping windows, of 24 words for every item and of
+   sizes near their own for shorter and longer ones; windows and items meet in the
+   latent space, and pairs with enough cosine similarity, and of lengths there that
+   are not too far apart, are candidates.
    The words that a candidate shares with the item must carry enough of its weight.
 4. A candidate is confirmed by the longest common subsequence of words between the
    item and the text around the window, or by a shorter one together with the
@@ -36,6 +37,7 @@ from . import store, text
 
 WINDOW = 24
 STRIDE = 8
+SHORT = ((8, 1), (12, 1), (16, 2))  # sizes and strides of windows for items shorter than WINDOW
 RANK = 64
 BLOCK_BYTES = 4 << 20
 BLOCK_ITEMS = 256  # four times the rank: more items would crowd the latent space
@@ -217,42 +219,48 @@ def _find_block(docs, items, doc_kind, item_kind, min_cosine, min_norm, min_weig
         answer_keys = [a.tobytes() for a in answer_terms]
         bags = [np.unique(t, return_counts=True) for t in item_terms]
         bags = [(t, many, many * idf[t], min_weight * float((many * idf[t]).sum())) for t, many in bags]
+        wide, narrow = _sizes(item_terms, none)
         for b in batches:
             out = []
             for w in _words(b.column(1), 1 << 18) if len(vec) else ():
                 t = lookup.value(terms(w))
                 n = np.diff(w.first)
                 blocks = -(-n // STRIDE)
-                # Sums of 8 words each; a window is three of them in a row within one text.
-                start = np.repeat(w.first[:-1], blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
+                # Sums of 8 words each; a window is some of them in a row within one text.
+                last = np.cumsum(blocks)
+                start = np.repeat(w.first[:-1], blocks) + (np.arange(blocks.sum()) - np.repeat(last - blocks, blocks)) * STRIDE
                 if not len(start):
                     continue
-                sums = np.add.reduceat(latent[t], start, axis=0)
-                doc = np.repeat(np.arange(len(n)), blocks)
-                win = sums.copy()
-                for k in range(1, WINDOW // STRIDE):
-                    same = doc[k:] == doc[:-k]
-                    win[:-k][same] += sums[k:][same]
-                norm = np.linalg.norm(win, axis=1)
-                cos = (win @ vec.T) / np.maximum(norm, 1e-9)[:, None]
-                x, y = np.nonzero((cos >= min_cosine) & (norm[:, None] >= least_norm))
+                sums = np.zeros((len(start) + 1, latent.shape[1]))
+                np.cumsum(np.add.reduceat(latent[t], start, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+                stop = np.repeat(last, blocks)
+                near = []
+                for size, of in wide:
+                    end = np.minimum(np.arange(len(start)) + size // STRIDE, stop)
+                    near.append(_close((sums[end] - sums[:-1]).astype(np.float32), start, size, of, vec, least_norm, min_cosine))
+                for size, stride, of, own in narrow:
+                    at = _narrow_starts(own[t], w.first, size, stride)
+                    win = latent[t[at]] if len(at) else np.zeros((0, latent.shape[1]), np.float32)
+                    for k in range(1, size if len(at) else 1):
+                        win += latent[t[at + k]]
+                    near.append(_close(win, at, size, of, vec, least_norm, min_cosine))
+                x, y, c, size_at = (np.concatenate(v) for v in zip(*near, strict=True))
                 if not len(x):
                     continue
                 # Windows of one text near the same item that stand close together are one candidate.
                 order = np.lexsort((x, y))
-                x, y = x[order], y[order]
-                c = cos[x, y]
+                x, y, c, to = x[order], y[order], c[order], (x + size_at)[order]
+                doc = np.searchsorted(w.first, x, "right") - 1
                 new = np.ones(len(x), bool)
-                new[1:] = (y[1:] != y[:-1]) | (doc[x[1:]] != doc[x[:-1]]) | (x[1:] - x[:-1] > 1 + lens[y[1:]] // STRIDE)
+                new[1:] = (y[1:] != y[:-1]) | (doc[1:] != doc[:-1]) | (x[1:] - x[:-1] > STRIDE * (1 + lens[y[1:]] // STRIDE))
                 begin = np.flatnonzero(new)
-                finish = np.append(begin[1:], len(x)) - 1
-                best = np.maximum.reduceat(c, begin)
+                best, to = np.maximum.reduceat(c, begin), np.maximum.reduceat(to, begin)
                 hits: dict = {}
                 for g in range(len(begin)):
-                    i, d = int(y[begin[g]]), int(doc[x[begin[g]]])
+                    i, d = int(y[begin[g]]), int(doc[begin[g]])
                     size = int(lens[i])
-                    a = max(int(w.first[d]), int(start[x[begin[g]]]) - size)
-                    z = min(int(w.first[d + 1]), int(start[x[finish[g]]]) + WINDOW + size)
+                    a = max(int(w.first[d]), int(x[begin[g]]) - size)
+                    z = min(int(w.first[d + 1]), int(to[g]) + size)
                     near = t[a:z]
                     sort, many, weight, least = bags[i]
                     p = np.searchsorted(sort, near)
@@ -276,6 +284,46 @@ def _find_block(docs, items, doc_kind, item_kind, min_cosine, min_norm, min_weig
     return docs.mapInArrow(search, f"doc_id {doc_kind}, item_id {item_kind}, cosine double, lcs long, item_words long, answer_found boolean")
 
 
+def _sizes(item_terms: list[np.ndarray], none: int) -> tuple[list, list]:
+    """Windows by size: (size, items) in steps of 8 words, and (size, stride, items, their terms) for short items.
+
+    An item meets windows of 24 words, and of 48, 96, ... as far as they are a
+    quarter of its length to all of it, so that a copy fills some window.
+    """
+    lens = np.array([len(t) for t in item_terms], np.int64)
+    wide, size = [(WINDOW, np.arange(len(lens)))], 2 * WINDOW
+    while len(lens) and size <= lens.max():
+        wide.append((size, np.flatnonzero((lens >= size) & (lens < 4 * size))))
+        size *= 2
+    narrow = []
+    for k, (size, stride) in enumerate(SHORT):
+        least, most = (size if k else 0), (SHORT[k + 1][0] if k + 1 < len(SHORT) else WINDOW)
+        of = np.flatnonzero((lens >= least) & (lens < most))
+        if len(of):
+            own = np.zeros(none + 1, bool)
+            own[np.concatenate([item_terms[i] for i in of])] = True
+            narrow.append((size, stride, of, own))
+    return [(n, of) for n, of in wide if len(of)], narrow
+
+
+def _narrow_starts(own: np.ndarray, first: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """Where windows of ``size`` words begin that lie in one text and have half of their words marked ``own``."""
+    if len(own) < size:
+        return np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(own)])
+    at = np.arange(0, len(own) - size + 1, stride)
+    at = at[2 * (total[at + size] - total[at]) >= size]
+    return at[at + size <= first[np.searchsorted(first, at, "right")]]
+
+
+def _close(win, start, size, of, vec, least_norm, min_cosine):
+    """(start, item, cosine, size) of the windows that are near items ``of``."""
+    norm = np.linalg.norm(win, axis=1)
+    cos = (win @ vec[of].T) / np.maximum(norm, 1e-9)[:, None]
+    x, y = np.nonzero((cos >= min_cosine) & (norm[:, None] >= least_norm[of]))
+    return start[x], of[y], cos[x, y], np.full(len(x), size)
+
+
 def _best_lcs(item: np.ndarray, near: np.ndarray, none: int) -> int:
     """The longest common subsequence with any stretch of ``near`` half as long again as the item."""
     mine, size = item.tolist(), len(item)

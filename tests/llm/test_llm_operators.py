@@ -498,6 +498,18 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs_df(spark, rows), bench.where("item_id < 0")).count() == 0
 
 
+def test_verbatim_items_of_any_length_are_found(spark):
+    rng = random.Random(21)
+    vocabulary = [word(rng) for _ in range(4000)]
+    say = lambda n: " ".join(vocabulary[min(int(rng.paretovariate(0.6)), 4000) - 1] for _ in range(n))
+    lens = [8, 13, 20, 30, 200, 300, 500, 2000]
+    items = [(k, say(lens[k % 8])) for k in range(48)]
+    rows = [(i, say(rng.randint(20, 400))) for i in range(150)]
+    rows += [(1000 + k, f"{say(rng.randint(30, 60))} {t} {say(rng.randint(30, 60))}") for k, t in items]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_df(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(1000 + k, k) for k, _ in items} <= got
+
+
 def test_randomised_svd(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
