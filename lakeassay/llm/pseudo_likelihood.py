@@ -6,8 +6,9 @@ scores the document.
 
 Words fall into classes: the most frequent ones each have their own, the rest share
 buckets by hash, within which a word has its share of the bucket's count. Counts
-come from every word of the corpus and shuffle as (word, count); only the most
-frequent ``table`` words, and each bucket's totals, go to executors. The network
+come from every word of the corpus and shuffle as (word, count). The most frequent
+``table`` words, and each bucket's totals, go to executors; all other words of the
+texts meet their counts in a join, so every word has its own share. The network
 learns on every ``stride``-th window of every document: each round sends the
 weights out, each task takes its own steps, and the weights' mean over tasks (by
 windows seen) is the next round's start. So both what is counted and what is
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +74,8 @@ class Vocabulary:
         order = np.argsort(rest)
         self.table = Lookup(rest[order]) if len(rest) else None
         bucket = self.bucket(rest)
-        known_total, known_distinct = np.bincount(bucket, n, BUCKETS), np.bincount(bucket, minlength=BUCKETS)
-        below = np.log(np.maximum(totals + distinct, 1) + 1)
-        self.other = np.log(np.maximum(totals - known_total, 0) / np.maximum(distinct - known_distinct, 1) + 1) - below
-        self.share = np.append((np.log(n + 1) - below[bucket])[order], 0.0).astype(np.float32)
+        self.below = np.log(np.maximum(totals + distinct, 1) + 1)
+        self.share = np.append((np.log(n + 1) - self.below[bucket])[order], 0.0).astype(np.float32)
         freq = np.concatenate([counts[:top][np.argsort(words[:top])] if top else [0], totals]) + 1.0
         self.frequency = freq / freq.sum()
 
@@ -87,19 +87,18 @@ class Vocabulary:
     def classes(self) -> int:
         return self.size + BUCKETS
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log share within it."""
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, log share within it, and whether log(count + 1) is still to be added as the word is not in the table."""
         c = self.top(h)
         rest = np.flatnonzero(c == self.size)
         b = self.bucket(h[rest])
         c[rest] = self.size + b
-        share = np.zeros(len(h), np.float32)
-        if self.table is None:
-            share[rest] = self.other[b]
-        else:
-            k = self.table(h[rest])
-            share[rest] = np.where(k < len(self.table.known), self.share[k], self.other[b])
-        return c, share
+        share, open_ = np.zeros(len(h), np.float32), np.zeros(len(h), bool)
+        k = self.table(h[rest]) if self.table else np.zeros(len(rest), np.int32)
+        known = k < len(self.table.known) if self.table else np.zeros(len(rest), bool)
+        share[rest] = np.where(known, self.share[k], -self.below[b])
+        open_[rest] = ~known
+        return c, share, open_
 
 
 def start_weights(v: Vocabulary, hidden: int, seed: int) -> list[np.ndarray]:
@@ -203,7 +202,7 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
             held = 0
             for b in batches:
                 for w in text.words(b.column(0)):
-                    c, _ = v(w.hash)
+                    c, _, _ = v(w.hash)
                     x = contexts(c, w.first, v.classes)[:, turn % stride :: stride]
                     kept.append((x, c[turn % stride :: stride]))
                     held += x.shape[1]
@@ -235,8 +234,8 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
     return weights
 
 
-def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDEN, rounds: int = 2, stride: int = 4, rate: float = 0.05, seed: int = 11) -> tuple[store.Shared, list[np.ndarray]]:
-    """``docs``: (text). Returns the vocabulary, shared with executors, and the network's weights."""
+def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDEN, rounds: int = 2, stride: int = 4, rate: float = 0.05, seed: int = 11) -> tuple[store.Shared, list[np.ndarray], DataFrame]:
+    """``docs``: (text). Returns the vocabulary, shared with executors, and the network's weights, and (word, n)."""
     counts = store.write(count_words(docs), "words")
     best = counts.orderBy(F.desc("n"), "word").limit(top + table).collect()
     words, n = np.array([r.word for r in best], np.int64).view(np.uint64), np.array([r.n for r in best], np.float64)
@@ -255,27 +254,33 @@ def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDE
     total, distinct = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.mapInArrow(sums, "bucket int, n double, words double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
         total[r.bucket], distinct[r.bucket] = r.n, r.words
-    store.drop(counts)
     v = store.Shared(docs.sparkSession, Vocabulary, words, n, total, distinct, top)
-    return v, train(docs, v, start_weights(v.value, hidden, seed), rounds, stride, rate)
+    return v, train(docs, v, start_weights(v.value, hidden, seed), rounds, stride, rate), counts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, pll (sum of log-probabilities), mean_pll, for every document, by a network fitted on all of them."""
     store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary, fitted = fit(docs.select("text"), **options)
+    vocabulary, fitted, counts = fit(docs.select("text"), **options)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def measure(batches):
         v, weights = vocabulary.value, model.value
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             for w in text.words(b.column(1)):
-                c, share = v(w.hash)
+                c, share, open_ = v(w.hash)
                 p = log_probabilities(weights, contexts(c, w.first, v.classes), c) + share
                 n = np.diff(w.first)
-                total = np.bincount(np.repeat(np.arange(len(n)), n), p, len(n))
-                mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.rows.start, len(w.rows)), pa.array(n), pa.array(total), pa.array(mean, mask=n == 0)], ["doc_id", "n_words", "pll", "mean_pll"])
-
-    return docs.mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, pll double, mean_pll double")
+                of = np.repeat(np.arange(len(n)), n)
+                ends = np.cumsum(np.bincount(of[open_], minlength=len(n)))
+                rare = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(w.hash[open_].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.rows.start, len(w.rows)), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(np.bincount(of, p, len(n))), rare], ["doc_id", "row", "n_words", "pll", "rare"])
+                row += len(n)
+
+    # Written, so that row numbers stay what they are when a task is repeated.
+    part = store.write(docs.mapInArrow(measure, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n_words long, pll double, rare array<long>"), "scores")
+    more = part.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log(F.col("n") + 1)).alias("more"))
+    pll = F.col("pll") + F.coalesce("more", F.lit(0.0))
+    return part.drop("rare").join(more, "row", "left").select("doc_id", "n_words", pll.alias("pll"), F.when(F.col("n_words") > 0, pll / F.col("n_words")).alias("mean_pll"))

@@ -450,6 +450,12 @@ def test_pseudo_likelihood(spark, texts):
     assert all(r.n_words == len((t or "").encode().split()) for i, t in rows for r in [got[i]])
 
 
+def test_words_outside_the_table_have_their_own_share(spark, texts):
+    df = docs_df(spark, [*texts[:-1], (300, "once"), (301, "twice"), (302, "twice twice"), (303, None), (303, "once more once")])
+    few, all_ = ({(r.doc_id, r.n_words): r.pll for r in pseudo_likelihood.score(df, top=4, table=t).collect()} for t in (6, 1 << 16))
+    assert few.keys() == all_.keys() and all(abs(few[k] - all_[k]) <= 1e-3 * max(1, abs(all_[k])) for k in few)
+
+
 def test_pseudo_likelihood_sums_to_one():
     v = pseudo_likelihood.Vocabulary(np.arange(1, 300, dtype=np.uint64), np.arange(300, 1, -1).astype(float), np.full(64, 50.0), np.full(64, 4.0), 16)
     w = pseudo_likelihood.start_weights(v, 8, 1)
