@@ -9,8 +9,8 @@ buckets by hash, within which a word has its share of the bucket's count. Counts
 come from every word of the corpus and shuffle as (word, count). The most frequent
 ``table`` words, and each bucket's totals, go to executors; all other words of the
 texts meet their counts in a join, so every word has its own share. The network
-learns on every ``stride``-th window of every document: each round sends the
-weights out, each task takes its own steps, and the weights' mean over tasks (by
+learns on every window of every document, a ``stride``-th of them a round with as
+many rounds at least, so each word is a target: each round sends the weights out, each task takes its own steps, and the weights' mean over tasks (by
 windows seen) is the next round's start. So both what is counted and what is
 learned from grow with the corpus.
 
@@ -234,8 +234,10 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
     return weights
 
 
-def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDEN, rounds: int = 2, stride: int = 4, rate: float = 0.05, seed: int = 11) -> tuple[store.Shared, list[np.ndarray], DataFrame]:
+def fit(docs: DataFrame, top: int = TOP, table: int = TABLE, hidden: int = HIDDEN, rounds: int = 2, stride: int = 2, rate: float = 0.05, seed: int = 11) -> tuple[store.Shared, list[np.ndarray], DataFrame]:
     """``docs``: (text). Returns the vocabulary, shared with executors, and the network's weights, and (word, n)."""
+    if rounds < stride:
+        raise ValueError("with fewer rounds than stride, some words are never learned from")
     counts = store.write(count_words(docs), "words")
     best = counts.orderBy(F.desc("n"), "word").limit(top + table).collect()
     words, n = np.array([r.word for r in best], np.int64).view(np.uint64), np.array([r.n for r in best], np.float64)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -450,6 +451,17 @@ def test_pseudo_likelihood(spark, texts):
     assert all(r.n_words == len((t or "").encode().split()) for i, t in rows for r in [got[i]])
 
 
+def test_pseudo_likelihood_learns_from_every_window(spark):
+    rounds, stride = (inspect.signature(pseudo_likelihood.fit).parameters[k].default for k in ("rounds", "stride"))
+    assert sorted(i for turn in range(rounds) for i in range(1000)[turn % stride :: stride]) == list(range(1000))
+    rng = random.Random(8)
+    rows = [(i, " ".join(["the", "cat", "sat", "on", "a", "mat"] * 20)) for i in range(200)] + [(300, " ".join(rng.sample("the cat sat on a mat".split() * 20, 120)))]
+    got = {r.doc_id: r.mean_pll for r in pseudo_likelihood.score(docs_df(spark, rows)).collect()}
+    assert got[0] > got[300]
+    with pytest.raises(ValueError):
+        pseudo_likelihood.score(docs_df(spark, rows), rounds=1, stride=2)
+
+
 def test_words_outside_the_table_have_their_own_share(spark, texts):
     df = docs_df(spark, [*texts[:-1], (300, "once"), (301, "twice"), (302, "twice twice"), (303, None), (303, "once more once")])
     few, all_ = ({(r.doc_id, r.n_words): r.pll for r in pseudo_likelihood.score(df, top=4, table=t).collect()} for t in (6, 1 << 16))
