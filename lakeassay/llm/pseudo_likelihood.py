@@ -4,8 +4,10 @@ A bidirectional window network, trained in numpy, predicts every word of a text
 from three words on either side; the sum of the conditional log-probabilities
 scores the document.
 
-Words fall into classes: the most frequent ones each have their own, the rest share
-buckets by hash, within which a word has its share of the bucket's count. Counts
+Words fall into classes: the ``top`` most frequent ones each have their own, the rest
+share buckets by hash, within which a word has its share of the bucket's count.
+Classes in order of frequency form groups of 64, and the network predicts the group
+and then the class within it, both from the context (a softmax of two levels). Counts
 come from every word of the corpus and shuffle as (word, count). The most frequent
 ``table`` words, and each bucket's totals, go to executors; all other words of the
 texts meet their counts in a join, so every word has its own share. The network
@@ -31,8 +33,9 @@ from . import store, text
 from .decontaminate import Lookup
 
 REACH = 3
-TOP = 128
-BUCKETS = 64
+TOP = 4096
+BUCKETS = 512
+GROUP = 64
 HIDDEN = 32
 TABLE = 1 << 16
 BATCH = 4096
@@ -68,30 +71,32 @@ class Vocabulary:
     def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, distinct: np.ndarray, top: int):
         # words: by count, most frequent first; totals and distinct: of the words of each bucket outside the top.
         top = min(top, len(words))
-        self.top = Lookup(np.sort(words[:top]) if top else np.zeros(1, np.uint64))
-        self.size = len(self.top.known)
+        order = np.argsort(words[:top]) if top else np.zeros(1, np.int64)
+        self.top = Lookup(words[order] if top else np.zeros(1, np.uint64))
+        self.size, self.buckets = len(order), len(totals)
+        self.rank = np.append(order, self.size).astype(np.int32)
         rest, n = words[top:], counts[top:]
         order = np.argsort(rest)
         self.table = Lookup(rest[order]) if len(rest) else None
-        bucket = self.bucket(rest)
+        bucket = self.bucket(rest, self.buckets)
         self.below = np.log(np.maximum(totals + distinct, 1) + 1)
         self.share = np.append((np.log(n + 1) - self.below[bucket])[order], 0.0).astype(np.float32)
-        freq = np.concatenate([counts[:top][np.argsort(words[:top])] if top else [0], totals]) + 1.0
+        freq = np.concatenate([counts[:top] if top else [0], totals]) + 1.0
         self.frequency = freq / freq.sum()
 
     @staticmethod
-    def bucket(h: np.ndarray) -> np.ndarray:
-        return (text.mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    def bucket(h: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+        return (text.mix(h) & np.uint64(buckets - 1)).astype(np.int64)
 
     @property
     def classes(self) -> int:
-        return self.size + BUCKETS
+        return self.size + self.buckets
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, log share within it, and whether log(count + 1) is still to be added as the word is not in the table."""
-        c = self.top(h)
+        c = self.rank[self.top(h)]
         rest = np.flatnonzero(c == self.size)
-        b = self.bucket(h[rest])
+        b = self.bucket(h[rest], self.buckets)
         c[rest] = self.size + b
         share, open_ = np.zeros(len(h), np.float32), np.zeros(len(h), bool)
         k = self.table(h[rest]) if self.table else np.zeros(len(rest), np.int32)
@@ -102,12 +107,18 @@ class Vocabulary:
 
 
 def start_weights(v: Vocabulary, hidden: int, seed: int) -> list[np.ndarray]:
-    """Context embeddings (position, class or padding, hidden), output weights and biases."""
+    """Context embeddings (position, class or padding, hidden), then output weights and biases of groups, and of classes
+    by group; what fills the last group up has no probability."""
     rng = np.random.default_rng(seed)
+    groups = -(-v.classes // GROUP)
+    freq = np.append(v.frequency, np.zeros(groups * GROUP - v.classes)).reshape(groups, GROUP)
+    of_group = freq.sum(axis=1)
     return [
         (rng.standard_normal((2 * REACH, v.classes + 1, hidden)) * 0.1).astype(np.float32),
-        (rng.standard_normal((hidden, v.classes)) * 0.1).astype(np.float32),
-        np.log(v.frequency).astype(np.float32),
+        (rng.standard_normal((hidden, groups)) * 0.1).astype(np.float32),
+        np.log(of_group).astype(np.float32),
+        (rng.standard_normal((groups, hidden, GROUP)) * 0.1).astype(np.float32),
+        np.where(freq > 0, np.log(np.maximum(freq, 1e-30) / of_group[:, None]), -1e4).astype(np.float32),
     ]
 
 
@@ -124,26 +135,42 @@ def contexts(c: np.ndarray, first: np.ndarray, pad: int) -> np.ndarray:
     return out
 
 
-def forward(weights: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e, out, bias = weights
+def forward(weights: list[np.ndarray], x: np.ndarray, y: np.ndarray):
+    """Hidden values and group scores of windows; the order of windows by group of ``y``, the groups there and where
+    each begins, and scores of the classes of its own group for each window in that order."""
+    e, out, bias, inner, inner_bias = weights
     h = e[0][x[0]]
     for k in range(1, len(x)):
         h += e[k][x[k]]
     np.tanh(h, out=h)
     z = h @ out
     z += bias
-    return h, z
+    order = np.argsort(y // GROUP, kind="stable")
+    g = (y // GROUP)[order]
+    begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    z2 = inner_bias[g]
+    hs = h[order]
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(g)], strict=True):
+        z2[lo:hi] += hs[lo:hi] @ inner[g[lo]]
+    return h, z, order, g[begin], begin, hs, z2
 
 
 def log_probabilities(weights: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log P(class y | context), in blocks."""
-    parts = []
-    for lo in range(0, len(y), BATCH):
-        _, z = forward(weights, x[:, lo : lo + BATCH])
+
+    def own(z, at):
         z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(z)), y[lo : lo + BATCH]].copy()
+        chosen = z[np.arange(len(z)), at].copy()
         np.exp(z, out=z)
-        parts.append(own - np.log(z.sum(axis=1)))
+        return chosen - np.log(z.sum(axis=1))
+
+    parts = []
+    for lo in range(0, len(y), BATCH):
+        c = y[lo : lo + BATCH]
+        _, z, order, _, _, _, z2 = forward(weights, x[:, lo : lo + BATCH], c)
+        p = own(z, c // GROUP)
+        p[order] += own(z2, c[order] % GROUP)
+        parts.append(p)
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
@@ -152,20 +179,30 @@ class Learner:
 
     def __init__(self, weights: list[np.ndarray], rate: float):
         self.w, self.rate = [w.copy() for w in weights], rate
-        self.sq = [np.full_like(w, 0.1) for w in weights]
+        # Rare classes have small gradients: only a small start lets them move.
+        self.sq = [np.full_like(w, 0.1 if k in (1, 2) else 1e-6) for k, w in enumerate(weights)]
         self.seen = 0
 
     def step(self, x: np.ndarray, y: np.ndarray) -> None:
         n = len(y)
-        h, z = forward(self.w, x)
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), y] -= 1
-        z /= n
-        gh = (z @ self.w[1].T) * (1 - h * h)
+        h, z, order, groups, begin, hs, z2 = forward(self.w, x, y)
+        for v, at in ((z, y // GROUP), (z2, y[order] % GROUP)):
+            v -= v.max(axis=1, keepdims=True)
+            np.exp(v, out=v)
+            v /= v.sum(axis=1, keepdims=True)
+            v[np.arange(n), at] -= 1
+            v /= n
+        gh = z @ self.w[1].T
+        of_inner, back = np.empty((len(groups), *self.w[3].shape[1:]), np.float32), np.empty_like(gh)
+        for k, (lo, hi) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), n], strict=True)):
+            of_inner[k] = hs[lo:hi].T @ z2[lo:hi]
+            back[lo:hi] = z2[lo:hi] @ self.w[3][groups[k]].T
+        gh[order] += back
+        gh *= 1 - h * h
         self._move(1, slice(None), h.T @ z)
         self._move(2, slice(None), z.sum(axis=0))
+        self._move(3, groups, of_inner)
+        self._move(4, groups, np.add.reduceat(z2, begin, axis=0))
         for k in range(len(x)):
             order = np.argsort(x[k], kind="stable")
             c = x[k][order]
@@ -214,7 +251,7 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
             if held:
                 learner.step(np.concatenate([k[0] for k in kept], axis=1), np.concatenate([k[1] for k in kept]))
             if learner.seen:
-                total = _flat(learner.w).astype(np.float64) * learner.seen
+                total = _flat(learner.w) * np.float32(learner.seen)
                 key = int(np.abs(total[:64]).sum() * 1e3) % 16
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([learner.seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["key", "seen", "sums"])
 
@@ -222,7 +259,7 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
             total, n = None, 0
             for b in batches:
                 for _, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    s = np.frombuffer(s)
+                    s = np.frombuffer(s, np.float32)
                     total, n = (s if total is None else total + s), n + k
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "sums"])
@@ -230,7 +267,7 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
         sums = docs.select("text").mapInArrow(learn, "key int, seen long, sums binary").repartition(16, "key").mapInArrow(merge, "seen long, sums binary").collect()
         n = sum(r.seen for r in sums)
         if n:
-            weights = _shaped(sum(np.frombuffer(bytes(r.sums)) for r in sums) / n, like)
+            weights = _shaped(sum(np.frombuffer(bytes(r.sums), np.float32) for r in sums) / np.float32(n), like)
     return weights
 
 

@@ -451,6 +451,19 @@ def test_pseudo_likelihood(spark, texts):
     assert all(r.n_words == len((t or "").encode().split()) for i, t in rows for r in [got[i]])
 
 
+def test_rare_words_are_predicted_from_context(spark):
+    # 600 pairs of words, none among the 128 most frequent: a partner is likelier than another pair's.
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(200)]
+    pairs = [(f"left{k}", f"right{k}") for k in range(600)]
+    line = lambda a, b: f"{rng.choice(common)} {rng.choice(common)} {a} {b} {rng.choice(common)} {rng.choice(common)}"
+    rows = [(i, " ".join(line(*rng.choice(pairs)) for _ in range(100))) for i in range(400)]
+    right, wrong = [line(*p) for p in pairs], [line(p[0], q[1]) for p, q in zip(pairs, pairs[1:] + pairs[:1], strict=True)]
+    rows += [(1000, " ".join(right)), (1001, " ".join(wrong))]
+    got = {r.doc_id: r.mean_pll for r in pseudo_likelihood.score(docs_df(spark, rows), rounds=16, stride=1).collect()}
+    assert got[1000] > got[1001] + 0.2
+
+
 def test_pseudo_likelihood_learns_from_every_window(spark):
     rounds, stride = (inspect.signature(pseudo_likelihood.fit).parameters[k].default for k in ("rounds", "stride"))
     assert sorted(i for turn in range(rounds) for i in range(1000)[turn % stride :: stride]) == list(range(1000))
