@@ -1,8 +1,9 @@
 """Secret scan with a random forest against false alarms, in DataFrame functions only.
 
 Candidates are words of a text that look like credentials: a known form, a value
-assigned to a telling name, or a long run that mixes letters and digits. A random
-forest then judges each by its length, its changes of character class, how much of
+assigned to a telling name, or a long run that mixes letters and digits. A word may
+hold several: known forms are cut out first, then assigned values, then runs, so
+that none overlap, and each is a row. A random forest then judges each by its length, its changes of character class, how much of
 it dictionary words cover, the document's path and the neighbouring words. The
 forest is grown on the driver from labelled findings (a bounded table) and compiled
 into column expressions; features of findings and of candidates are the same
@@ -33,6 +34,7 @@ KINDS = (
     ("url_password", r"[a-z][a-z0-9+.\-]{1,9}://[^\s/:@]{1,64}:[^\s/@]{3,}@"),
 )
 ASSIGNED = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|auth|credential)s?[\"']?\s*[:=]+>?\s*[\"']?([^\s\"',;]{6,})"
+SETTING = r"[&|?#{}()\[\]<>](?=[\w.\-]{1,64}[\"']?[:=])"  # before another name and value in one word
 RUN = r"[A-Za-z0-9+/_=\-]{16,}"
 STARTS = r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|[spr]k[_\-]|eyJ|://"
 TELLING = r"(?i)passw|pwd|secret|token|api[_\-]?key|apikey|auth|credential|bearer|private|access[_\-]?key"
@@ -50,7 +52,8 @@ FEATURES = ("length", "transitions", "distinct", "digits", "uppers", "vowels", "
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """doc_id, path, at (number of the word, from 0), word, before, after (neighbours), value, kind."""
+    """doc_id, path, at (number of the word, from 0), word, before, after (neighbours), value, kind: a row for each value in
+    a word; ``word`` is what surrounds the value if there are several."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     # Most texts have nothing that could be part of a candidate; they stop here.
     some = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"[0-9]") | F.col("t").rlike(TELLING) | F.col("t").rlike(STARTS))
@@ -72,13 +75,30 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_value(hits: DataFrame) -> DataFrame:
-    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, pattern in reversed(KINDS):
-        kind = F.when(F.col("word").rlike(pattern), F.lit(name)).otherwise(kind)
-        value = F.when(F.col("word").rlike(pattern), F.regexp_extract("word", pattern, 0)).otherwise(value)
+    """Adds kind and value to rows of (word, before), a row for each value in the word."""
+    all_of = lambda pattern, group=0: F.regexp_extract_all("_cut", F.lit(pattern), F.lit(group))
+    of_kind = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    gone = " ; "  # no value goes across it
+    out = hits.withColumn("_cut", F.col("word"))
+    for name, pattern in KINDS:
+        out = out.withColumn(f"_{name}", all_of(pattern)).withColumn("_cut", F.regexp_replace("_cut", pattern, gone))
+    out = out.withColumn("_cut", F.regexp_replace("_cut", SETTING, gone))
+    out = out.withColumn("_assigned", all_of(ASSIGNED, 1)).withColumn("_cut", F.regexp_replace("_cut", ASSIGNED, gone))
+    out = out.withColumn("_runs", F.filter(all_of(RUN), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")))
+    some = F.concat(*(of_kind(name, F.col(f"_{name}")) for name, _ in KINDS), of_kind("assigned", F.col("_assigned")))
+    named = F.col("before").rlike(r"[:=]>?[\"']?$")
+    # The words before may name what the word begins with.
+    head = F.when(named & F.col("before").rlike(TELLING), F.regexp_extract("_cut", r"^[\"'`(\[{<]*([^\s\"',;]{6,})", 1)).otherwise(F.lit(""))
+    out = out.withColumn("_some", some).withColumn("_head", head)
+    first = F.when(F.col("_head") != "", F.array(F.col("_head"))).otherwise(F.array().cast("array<string>"))
+    many = F.concat(of_kind("assigned", first), "_some", of_kind("run", F.filter("_runs", lambda v: ~F.contains(F.col("_head"), v))))
     rest = F.regexp_replace("word", r"^[\"'`(\[{<]+|[\"'`)\]}>.,;:!?*#$%&]+$", "")
-    value = F.coalesce(value, F.when(F.col("word").rlike(ASSIGNED), F.regexp_extract("word", ASSIGNED, 1)), rest)
-    return hits.withColumn("kind", F.coalesce(kind, F.when(F.col("word").rlike(ASSIGNED) | F.col("before").rlike(r"[:=]>?[\"']?$"), F.lit("assigned")), F.lit("run"))).withColumn("value", value)
+    single = F.array(F.struct(F.when(named, F.lit("assigned")).otherwise(F.lit("run")).alias("kind"), rest.alias("value")))
+    out = out.withColumn("_all", F.when((F.size("_some") == 0) & (F.size("_runs") < 2), single).otherwise(many))
+    out = out.withColumn("_n", F.size("_all")).withColumn("_v", F.explode("_all")).withColumn("kind", F.col("_v.kind")).withColumn("value", F.col("_v.value"))
+    left = F.regexp_extract(F.expr("right(substring_index(word, value, 1), 48)"), r"[^,;&{}\s]*$", 0)
+    word = F.when(F.col("_n") > 1, F.concat(left, "value")).otherwise(F.col("word")).alias("word")
+    return out.select(*[word if c == "word" else F.col(c) for c in hits.columns], "kind", "value")
 
 
 def features(hits: DataFrame) -> DataFrame:
