@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near duplicates; of rows that share that id, the first by their columns."""
     with _stage(spark):
-        members, _ = jaccard_join.near_duplicates(docs)
+        members, _ = jaccard_join.near_duplicates(docs, every_link=False)
         kept = _without(docs, members.where("component_id <> doc_id").select("doc_id"))
         repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
         if not repeated.limit(1).count():

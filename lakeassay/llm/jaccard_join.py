@@ -13,8 +13,9 @@ link when den * |A & B| >= num * |A | B|. The join is exact:
 4. Answers from answers: in each list the set with the least position (the one
    with the fewest shingles of its own) is compared with all others first. What
    it links with forms provisional classes, whose sets need no comparison among
-   themselves. Only pairs of different classes are still generated, in blocks, and
-   confirmed on whole sets. Connected links give the components.
+   themselves to find the components: only pairs of different classes are still
+   generated, in blocks, and confirmed on whole sets. Connected links give the
+   components. Where every link is asked for, pairs within classes are generated too.
 
 Lists stream from a sort, so a list of any length needs no memory of its own in
 stage 4's first part, and one block of rows in its second.
@@ -300,8 +301,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
     return _beside(docs, left, k, lambda h: h, linked, "a long, b long, inter long, n_a long, n_b long")
 
 
-def cross_pairs(lists: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of sets of different classes that meet in a list at positions and of sizes that let them link."""
+def cross_pairs(lists: DataFrame, classes: DataFrame | None, num: int, den: int) -> DataFrame:
+    """Pairs of sets of different classes, or of any sets, that meet in a list at positions and of sizes that let them link."""
 
     def pairs(batches):
         names = ["a", "b"]
@@ -355,15 +356,20 @@ def cross_pairs(lists: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
             for f in of_list(carry[1:]):
                 yield from emit([f])
 
+    if classes is None:
+        rows = lists.select("token", "pos", "n", "doc", F.col("doc").alias("own"))
+        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
     rows = lists.select("token", "pos", "n", "doc").join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "pos", "n", "doc", F.coalesce("component", "doc").alias("own"))
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n_shingles, rep, component_id) and confirmed links between representatives (a, b, inter, n_a, n_b).
 
-    The links join every pair of different sets that link into one component; pairs
-    that two links already join are not all listed.
+    The links are all pairs of different sets that link, the square of a group in
+    number. Without ``every_link``, for those who need the members only, they join
+    every such pair into one component, and pairs that others already join are not
+    all listed; members are the same.
     """
     store.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -380,9 +386,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows that share an id are one node; their sets' representatives meet through it.
     twice = some.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
     shared = some.join(twice, "doc_id", "left_semi").join(classes, ["n_shingles", "s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    left = store.write(cross_pairs(lists, components(first), num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    left = store.write(cross_pairs(lists, None if every_link else components(first), num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     store.drop(lists)
-    links = store.write(first.union(confirm(docs, left, k, num, den)), "links")
+    # Two lists may have led by either set of a pair.
+    swap = F.col("a") > F.col("b")
+    either = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("inter", "inter"), ("n_a", "n_b"), ("n_b", "n_a"))]
+    links = store.write(first.union(confirm(docs, left, k, num, den)).select(*either).distinct(), "links")
     for t in (stars, first, left):
         store.drop(t)
     reached = components(links.select("a", "b").union(shared))

@@ -18,7 +18,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    members, _ = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), every_link=False)  # the links are not returned
     return members.select("doc_id", "n_shingles", "component_id")
 
 

@@ -132,6 +132,28 @@ def test_jaccard_join(spark, texts):
         assert 100 * r.inter >= 80 * (r.n_a + r.n_b - r.inter)
 
 
+def test_jaccard_links_equal_brute_force(spark, texts):
+    rng = random.Random(15)
+    rows, base = list(texts[:-1]), [prose(rng, 300).split() for _ in range(3)]
+    for i in range(100, 170):
+        w = list(base[i % 3])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = word(rng) + "y"
+        rows.append((i, " ".join(w)))
+    sets = {}
+    for i, t in sorted(rows):
+        w = (t or "").encode().lower().split()
+        if w:
+            sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), i)
+    want = {(i, j, len(x & y)) for x, i in sets.items() for y, j in sets.items() if i < j and x & y and 100 * len(x & y) >= 80 * len(x | y)}
+    members, links = jaccard_join.near_duplicates(docs_df(spark, rows))
+    got = [(min(r.a, r.b), max(r.a, r.b), r.inter) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    less, fewer = jaccard_join.near_duplicates(docs_df(spark, rows), every_link=False)
+    print("links", len(got), fewer.count())
+    assert sorted(members.collect(), key=str) == sorted(less.collect(), key=str) and len(want) > 300
+
+
 def test_jaccard_threshold_is_exact(spark):
     # 36 shared of 45 in the union is exactly 0.8; 35 of 45 is below.
     a = [f"w{i}" for i in range(44)]
