@@ -2,9 +2,11 @@
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z count as a-z.
 Bytes of multi-byte characters never fall in those ranges, so working on bytes
-equals working on code points. A word's hash is a polynomial in its bytes modulo
-2**64, read off a running sum, then mixed; equal words hash equal wherever they
-stand.
+equals working on code points. A word's hash chains a bijective mixer over its
+bytes, eight at a time, from a start that its length and a seed give: words of up
+to eight bytes and equal length never meet, and no arrangement of bytes makes
+others meet more often than chance. Where a result rests on hashes being different,
+operators draw a seed for each run.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
 CHUNK = 1 << 18  # bytes of text that are worked on at once
+SEGMENT = 64  # longer spans are hashed in parts of so many bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of consecutive rows. ``first[i]:first[i+1]`` are those of row ``i``."""
+    """Words of consecutive rows. ``first[i]:first[i+1]`` are those of row ``i``; ``low`` is ``data`` in lower case."""
 
     rows: range
     hash: np.ndarray
@@ -40,6 +41,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     data: np.ndarray
+    low: Bytes
 
 
 def _tables():
@@ -47,9 +49,52 @@ def _tables():
     low[65:91] += 32
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
-    value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    value = value[low]
-    return low, space, value
+    return low, space
+
+
+class Bytes:
+    """Bytes whose spans can be hashed."""
+
+    def __init__(self, b: np.ndarray):
+        self.n = len(b)
+        padded = np.empty(self.n + 8, np.uint8)
+        padded[: self.n], padded[self.n :] = b, 0
+        # Eight bytes from every place on.
+        self.eight = np.ndarray((self.n + 1,), "<u8", padded, strides=(1,))
+
+    def _chain(self, start: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+        h = mix(h ^ (self.eight[start] & _MASK[np.minimum(n, 8)]))
+        rest, at = np.flatnonzero(n > 8), 8
+        while len(rest):
+            left = n[rest] - at
+            h[rest] = mix(h[rest] ^ (self.eight[start[rest] + at] & _MASK[np.minimum(left, 8)]))
+            rest, at = rest[left > 8], at + 8
+        return h
+
+    def hashes(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A hash of each span ``start:end``, by its bytes, its length and ``seed``."""
+        n = end - start
+        with np.errstate(over="ignore"):
+            key = np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % (1 << 64))
+            h = mix(n.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) ^ key)
+            long = np.flatnonzero(n > SEGMENT)
+            if not len(long):
+                return self._chain(start, n, h)
+            out = np.empty(len(n), np.uint64)
+            short = np.flatnonzero(n <= SEGMENT)
+            out[short] = self._chain(start[short], n[short], h[short])
+            # Parts hash by themselves, with their number in the span, and add up.
+            many = -(-n[long] // SEGMENT)
+            begin = np.cumsum(many) - many
+            part = np.arange(many.sum()) - np.repeat(begin, many)
+            at = np.repeat(start[long], many) + part * SEGMENT
+            size = np.minimum(np.repeat(end[long], many) - at, SEGMENT)
+            parts = self._chain(at, size, mix(np.repeat(h[long], many) + part.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+            out[long] = mix(np.add.reduceat(mix(parts), begin) ^ h[long])
+            return out
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def kept() -> dict:
@@ -57,19 +102,6 @@ def kept() -> dict:
     return sys.modules.setdefault("_lakeassay_kept", types.ModuleType("_lakeassay_kept")).__dict__
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    """base**0 to base**(n-1), n being at least 1; those of a usual chunk are kept."""
-    found = kept().get(("powers", base))
-    if found is not None and len(found) >= n:
-        return found
-    out = np.full(max(n, CHUNK + 1), base, np.uint64)
-    out[0] = 1
-    out = np.multiply.accumulate(out)
-    if n <= CHUNK + 1:
-        kept()["powers", base] = out
-    return out
-
-
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; null counts as empty."""
     if col.null_count:
@@ -80,7 +112,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def words(col: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[Words]:
+def words(col: pa.Array | pa.ChunkedArray, chunk: int = CHUNK, seed: int = 0) -> Iterator[Words]:
     """Every row of ``col`` once, whole, in order; at least one row at a time."""
     kept().pop("encoder", None)  # a worker that turns to other work lets its tokenizer go
     if isinstance(col, pa.ChunkedArray):
@@ -88,14 +120,11 @@ def words(col: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[Words
     if not len(col):
         return
     off, data = buffers(col)
-    low, space, value = _tables()
-    power, inverse = _powers(chunk + 1, _P), _powers(chunk + 1, _PINV)
+    low, space = _tables()
     at = 0
     while at < len(col):
         to = max(at + 1, int(np.searchsorted(off, off[at] + chunk, "right")) - 1)
         b = data[off[at] : off[to]]
-        if len(b) + 1 > len(power):
-            power, inverse = _powers(len(b) + 1, _P), _powers(len(b) + 1, _PINV)
         ends = off[at : to + 1] - off[at]
         solid = ~space[b]
         edge = np.zeros(len(b) + 1, bool)
@@ -108,11 +137,8 @@ def words(col: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[Words
         after[-1:] = True
         after[:-1] = ~solid[1:]
         end = np.flatnonzero(solid & (after | edge[1:])) + 1
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(value[b] * power[: len(b)], out=total[1:])
-            h = mix((total[end] - total[start]) * inverse[start])
-        yield Words(range(at, to), h, start, end, np.searchsorted(start, ends), b)
+        lowered = Bytes(low[b])
+        yield Words(range(at, to), lowered.hashes(start, end, seed), start, end, np.searchsorted(start, ends), b, lowered)
         at = to
 
 
@@ -120,9 +146,11 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word runs, and where each row's begin; a row of 1 to k-1 words has its whole sequence as one."""
     n = np.diff(w.first)
     with np.errstate(over="ignore"):
-        acc = np.zeros(max(0, len(w.hash) - k + 1), np.uint64)
+        m = max(0, len(w.hash) - k + 1)
+        # A word's hash is even over 64 bits, so a sum with odd weights, mixed, tells runs apart; order counts.
+        acc = np.zeros(m, np.uint64)
         for j in range(k):
-            acc += w.hash[j : j + len(acc)] * np.uint64(pow(0xA24BAED4963EE407, j + 1, 1 << 64))
+            acc += w.hash[j : j + m] * np.uint64(pow(0xA24BAED4963EE407, j + 1, 1 << 64))
         acc = mix(acc)
         count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
         first = np.concatenate([[0], np.cumsum(count)])
@@ -165,18 +193,15 @@ class Lines:
     data: np.ndarray
 
 
-def lines(col: pa.Array, chunk: int = CHUNK) -> Iterator[Lines]:
+def lines(col: pa.Array, chunk: int = CHUNK, seed: int = 0) -> Iterator[Lines]:
     if not len(col):
         return
     off, data = buffers(col)
-    _, space, value = _tables()
-    power, inverse = _powers(chunk + 1, _P), _powers(chunk + 1, _PINV)
+    low, space = _tables()
     at = 0
     while at < len(col):
         to = max(at + 1, int(np.searchsorted(off, off[at] + chunk, "right")) - 1)
         b = data[off[at] : off[to]]
-        if len(b) + 1 > len(power):
-            power, inverse = _powers(len(b) + 1, _P), _powers(len(b) + 1, _PINV)
         ends = off[at : to + 1] - off[at]
         cut = np.flatnonzero(b == 10)
         row = np.searchsorted(ends, cut, "right") - 1
@@ -192,10 +217,7 @@ def lines(col: pa.Array, chunk: int = CHUNK) -> Iterator[Lines]:
         some = j > i
         start = np.where(some, solid[np.minimum(i, max(0, len(solid) - 1))] if len(solid) else 0, lo)
         end = np.where(some, (solid[np.maximum(j - 1, 0)] if len(solid) else 0) + 1, lo)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(value[b] * power[: len(b)], out=total[1:])
-            h = mix((total[end] - total[start]) * inverse[start])
+        h = Bytes(low[b]).hashes(start, end, seed)
         points = np.zeros(len(b) + 1, np.int64)
         np.cumsum((b & 0xC0) != 0x80, out=points[1:])
         yield Lines(range(at, to), first, lo, hi, start, end, h, points[end] - points[start], b)

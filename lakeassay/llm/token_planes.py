@@ -128,7 +128,6 @@ class Encoder:
         kind[48:58] = _DIGIT
         kind[65:91] = kind[97:123] = kind[128:] = _LETTER
         self.kind = kind
-        self.value = text.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -177,11 +176,7 @@ class Encoder:
             start[ends[:-1][ends[:-1] < len(b)]] = True
             s = np.flatnonzero(start)
             e = np.append(s[1:], len(b))
-            with np.errstate(over="ignore"):
-                total = np.zeros(len(b) + 1, np.uint64)
-                power, inverse = self._tables(len(b) + 1)
-                np.cumsum(self.value[b] * power[: len(b)], out=total[1:])
-                h = text.mix((total[e] - total[s]) * inverse[s]) | np.uint64(1)
+            h = text.Bytes(b).hashes(s, e) | np.uint64(1)
             first = np.searchsorted(s, ends)
             keep = np.repeat(plain, np.diff(first))
             yield from self._assembled(b, s, e, h, first, keep, whole)
@@ -189,9 +184,6 @@ class Encoder:
             for i in range(rows):
                 yield np.array(whole.get(i, ()), np.uint32)
 
-    def _tables(self, n: int):
-        return text._powers(n, text._P), text._powers(n, text._PINV)
-
     def _find(self, h: np.ndarray):
         mask = np.uint64(SLOTS - 1)
         i, j = (h >> np.uint64(1)) & mask, (h >> np.uint64(33)) & mask

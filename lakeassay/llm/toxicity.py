@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store, text
+from .decontaminate import bare
 from .labelled import MAX_TRAIN, fold, sample
 
 PREFIXES = (3, 4, 5, 6, 7)
-BITS = 22
 MAX_FEATURES = 8192
 
 # Group terms that may stand for each other, one line a kind and language.
@@ -45,25 +45,16 @@ GROUP_TERMS = (
 
 def _features(w: text.Words) -> tuple[np.ndarray, np.ndarray]:
     """Rows (within ``w``) and hashes of all features, with repeats."""
-    _, _, value = text._tables()
-    b = w.data
+    start, end = bare(w)
     solid = np.zeros(256, bool)
     solid[48:58] = solid[65:91] = solid[97:123] = solid[128:] = True
-    at = np.flatnonzero(solid[b])
-    row = np.repeat(np.arange(len(w.rows)), np.diff(w.first))
-    i, j = np.searchsorted(at, w.start), np.searchsorted(at, w.end)
-    some = j > i
-    start, end, row = at[i[some]] if len(at) else w.start[:0], at[j[some] - 1] + 1 if len(at) else w.end[:0], row[some]
-    power, inverse = text._powers(len(b) + 1, text._P), text._powers(len(b) + 1, text._PINV)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(value[b] * power[: len(b)], out=total[1:])
-        h = [text.mix((total[end] - total[start]) * inverse[start])]
-        rows = [row]
-        for p in PREFIXES:
-            k = end - start > p
-            h.append(text.mix((total[start[k] + p] - total[start[k]]) * inverse[start[k]] + np.uint64(p)))
-            rows.append(row[k])
+    some = np.flatnonzero(solid[w.data[start]]) if len(start) else start  # words of marks only are no features
+    row, start, end = np.repeat(np.arange(len(w.rows)), np.diff(w.first))[some], start[some], end[some]
+    h, rows = [w.low.hashes(start, end)], [row]
+    for p in PREFIXES:
+        k = end - start > p
+        h.append(w.low.hashes(start[k], start[k] + p, p))
+        rows.append(row[k])
     return np.concatenate(rows), np.concatenate(h)
 
 
