@@ -1,7 +1,10 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Sets are the distinct k-word shingles of whole texts, as 64-bit hashes. Two sets
-link when den * |A & B| >= num * |A | B|. The join is exact:
+Sets are the distinct k-word shingles of whole texts, as 64-bit hashes under a seed
+drawn for each run. Two sets link when den * |A & B| >= num * |A | B|. The join is
+exact but for hashes that meet by chance; sets of fewer than 16 shingles, in which
+one such chance could make or break a link, carry a second hash under another seed
+wherever they are compared:
 
 1. Equal sets collapse to one representative (a 128-bit sum and the size).
 2. A count sketch of bounded size orders shingles, rare ones first; any common order
@@ -17,8 +20,10 @@ link when den * |A & B| >= num * |A | B|. The join is exact:
    generated, in blocks, and confirmed on whole sets. Connected links give the
    components. Where every link is asked for, pairs within classes are generated too.
 
-Lists stream from a sort, so a list of any length needs no memory of its own in
-stage 4's first part, and one block of rows in its second.
+Lists stream from a sort, and the sketch tells which are long: those are dealt out
+in parts with a leader each, and leaders meet the first of them. In stage 4's second
+part a long list is dealt out as pairs of blocks of about ``LIST_ROWS`` rows. So
+no list of any length needs one task or its memory.
 
 Edge cases: a text with 1 to k-1 words has its whole sequence as one shingle; null
 texts and texts without words have empty sets and link with nothing; rows that
@@ -28,6 +33,8 @@ component; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,30 +48,55 @@ SKETCH_BLOCK = 1 << 15
 ID_FILTER_BITS = 1 << 26
 HUB_ROWS = 1024
 PAIR_BLOCK = 2048
+LIST_ROWS = 4096  # of an index list, or its part, in one place
+SMALL = 16  # sets of fewer shingles carry two hashes
 
 
-def _sets(col: pa.Array, k: int):
-    for w in text.words(col):
+def _sets(col: pa.Array, k: int, seed: int):
+    for w in text.words(col, seed=seed):
         yield w.rows, *text.sorted_sets(*text.shingles(w, k))
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def _double_sets(col: pa.Array, k: int, seed: int):
+    """Rows, sorted hashes, where each row's begin, and {row: second hashes} of rows with few shingles."""
+    for w in text.words(col, seed=seed):
+        raw, at = text.shingles(w, k)
+        h, first = text.sorted_sets(raw, at)
+        n = np.diff(first)
+        small, second = np.flatnonzero((n > 0) & (n < SMALL)), {}
+        if len(small):
+            # The words of small rows alone, hashed again.
+            many = np.diff(w.first)[small]
+            begin = np.cumsum(many) - many
+            idx = np.repeat(w.first[small] - begin, many) + np.arange(many.sum())
+            start, end = w.start[idx], w.end[idx]
+            own = text.Words(range(len(small)), w.low.hashes(start, end, seed ^ 0x5DEECE66D), start, end, np.append(begin, many.sum()), w.data, w.low)
+            other, to = text.shingles(own, k)
+            for j, i in enumerate(small.tolist()):
+                _, where = np.unique(raw[at[i] : at[i + 1]], return_index=True)
+                second[i] = other[to[j] : to[j + 1]][where]
+        yield w.rows, h, first, second
+
+
+def signatures(docs: DataFrame, k: int, seed: int) -> DataFrame:
     """doc_id, n_shingles and two sums that tell sets apart."""
 
     def sign(batches):
         for b in batches:
-            for rows, h, first in _sets(b.column(1), k):
+            for rows, h, first, second in _double_sets(b.column(1), k, seed):
                 sums = []
                 with np.errstate(over="ignore"):
                     for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
                         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text.mix(h ^ np.uint64(salt)), dtype=np.uint64)])
-                        sums.append(pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(rows)), pa.array(np.diff(first)), *sums], ["doc_id", "n_shingles", "s1", "s2"])
+                        sums.append(total[first[1:]] - total[first[:-1]])
+                    for i, x in second.items():
+                        sums[1][i] = text.mix(x).sum(dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(rows)), pa.array(np.diff(first)), *(pa.array(x.view(np.int64)) for x in sums)], ["doc_id", "n_shingles", "s1", "s2"])
 
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
-def shingle_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+def shingle_sketch(docs: DataFrame, k: int, bits: int, seed: int = 0) -> np.ndarray:
     """Documents by cell of their shingles' hashes: 2**bits counts."""
     shift, cells = np.uint64(64 - bits), 1 << bits
 
@@ -73,7 +105,7 @@ def shingle_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
         total = np.zeros(cells, np.uint32)
         for b in batches:
-            for _, h, _ in _sets(b.column(0), k):
+            for _, h, _ in _sets(b.column(0), k, seed):
                 np.add.at(total, (h >> shift).astype(np.int64), 1)
         z = zstandard.ZstdCompressor(level=1)
         for at in np.flatnonzero(total.reshape(-1, SKETCH_BLOCK).any(axis=1)).tolist():
@@ -102,9 +134,13 @@ def shingle_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     return out
 
 
+def noise_of(sketch: np.ndarray) -> float:
+    return float(sketch.mean() + 4 * np.sqrt(sketch.mean()) + 2)
+
+
 def levels(sketch: np.ndarray) -> np.ndarray:
     """0 for cells within the noise of their mean, then one more for each doubling."""
-    noise = sketch.mean() + 4 * np.sqrt(sketch.mean()) + 2
+    noise = noise_of(sketch)
     return np.where(sketch <= noise, 0, 1 + np.floor(np.log2(np.maximum(sketch, 1) / noise))).clip(0, 40).astype(np.uint8)
 
 
@@ -147,16 +183,23 @@ def id_filter(ids: DataFrame, bits: int = ID_FILTER_BITS) -> bytes:
     return out.tobytes()
 
 
-def index_lists(docs: DataFrame, reps: DataFrame, shingles: int, k: int, num: int, den: int) -> DataFrame:
-    """Rows (token, pos, n, doc, lead, lead_n, lead_pos) of index lists with two sets at least."""
+def index_lists(docs: DataFrame, reps: DataFrame, shingles: int, k: int, num: int, den: int, seed: int = 0, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Rows (token, part, pos, n, doc, lead_pos, lead_n, lead) of index lists with two sets at least.
+
+    ``part`` is 0, or one of the parts, dealt by document, of a list that the sketch
+    says may be long; each part has its own leader.
+    """
     spark = docs.sparkSession
     bits = min(max(int(shingles // 16).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
-    level = spark.sparkContext.broadcast(levels(shingle_sketch(docs, k, bits)))
+    sketch = shingle_sketch(docs, k, bits, seed)
+    # A level's cells hold fewer than noise * 2**level sets.
+    parts = np.array([1] + [1 + int(noise_of(sketch) * 2.0**v / list_rows) for v in range(1, 42)], np.int64)
+    level = spark.sparkContext.broadcast(levels(sketch))
     shift = np.uint64(64 - bits)
 
     def prefixes(batches):
         for b in batches:
-            for rows, h, first in _sets(b.column(1), k):
+            for rows, h, first in _sets(b.column(1), k, seed):
                 lev = level.value[(h >> shift).astype(np.int64)]
                 out = []
                 for i in range(len(rows)):
@@ -175,52 +218,57 @@ def index_lists(docs: DataFrame, reps: DataFrame, shingles: int, k: int, num: in
                 hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(lens[lo:]), 300_000, "right")))
                 m = lens[lo:hi]
                 pos = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefix[lo:hi]), np.int64)), pa.array(pos.astype(np.int32)), pa.array(np.repeat(n[lo:hi], m)), pa.array(np.repeat(doc[lo:hi], m))], ["token", "pos", "n", "doc"])
+                token, of = np.frombuffer(b"".join(prefix[lo:hi]), np.uint64), np.repeat(doc[lo:hi], m)
+                # Parts are numbered from 1 where there are several.
+                many = parts[level.value[(token >> shift).astype(np.int64)]]
+                part = np.where(many > 1, 1 + (text.mix(of.astype(np.int64).view(np.uint64)) >> np.uint64(1)).astype(np.int64) % many, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(np.repeat(n[lo:hi], m)), pa.array(of)], ["token", "part", "pos", "n", "doc"])
                 lo = hi
 
     def lead(batches):
-        """Streams lists sorted by (token, pos, n, doc): the first row leads its list; lists of one row go."""
-        names = ["token", "pos", "n", "doc"]
-
-        def out(cols, token, last):
-            # cols: rows of whole or begun lists; last[0] is the leader of a list that began before.
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-            leads = [c[head].copy() for c in cols[1:]]
-            if last is not None and len(token) and token[0] == last[0]:
-                end = int(np.flatnonzero(new[1:])[0]) + 1 if new[1:].any() else len(token)
-                for c, v in zip(leads, last[1:], strict=True):
-                    c[:end] = v
-            return new, leads
-
-        last = None  # the leader of the list that the last row seen belongs to
-        held = None  # that row itself, while it is alone in its list so far
+        """Streams lists sorted by (token, part, pos, n, doc): the first row leads its part; whole lists of one row go."""
+        names = ["token", "part", "pos", "n", "doc"]
+        last = None  # key and leader of the part that the last row seen belongs to
+        held = None  # that row itself, while it is alone in its part so far
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if held is not None:
                 cols = [np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held, cols, strict=True)]
                 last = None
-            token = cols[0]
+            token, part = cols[:2]
             if not len(token):
                 continue
-            new, leads = out(cols, token, last)
-            end = np.append(new[1:], False)
-            alone = new & end
-            if last is not None and token[0] == last[0]:
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            leads = [c[head].copy() for c in cols[2:]]
+            goes_on = last is not None and (token[0], part[0]) == last[0]
+            if goes_on:
+                end = int(np.flatnonzero(new[1:])[0]) + 1 if new[1:].any() else len(token)
+                for c, v in zip(leads, last[1], strict=True):
+                    c[:end] = v
+            alone = new & np.append(new[1:], False) & (part == 0)
+            if goes_on:
                 alone[0] = False
-            tail_alone = bool(new[-1]) and not (last is not None and len(token) == 1 and token[0] == last[0])
+            tail = bool(new[-1]) and part[-1] == 0 and not (len(token) == 1 and goes_on)
             show = ~alone
-            if tail_alone:
+            if tail:
                 show[-1] = False
-            held = [c[-1] for c in cols] if tail_alone else None
-            last = [token[-1], *(c[-1] for c in leads)]
+            held = [c[-1] for c in cols] if tail else None
+            last = (token[-1], part[-1]), [c[-1] for c in leads]
             if show.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[show]) for c in [*cols, *leads]], [*names, "lead_pos", "lead_n", "lead"])
 
     spread = docs.mapInArrow(prefixes, "doc long, n int, prefix binary").where("n > 0").join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    rows = spread.select("doc", "n", "prefix").mapInArrow(explode, "token long, pos int, n int, doc long")
-    return store.write(rows.repartition("token").sortWithinPartitions("token", "pos", "n", "doc").mapInArrow(lead, "token long, pos int, n int, doc long, lead_pos int, lead_n int, lead long"), "lists")
+    rows = spread.select("doc", "n", "prefix").mapInArrow(explode, "token long, part int, pos int, n int, doc long")
+    return store.write(rows.repartition("token", "part").sortWithinPartitions("token", "part", "pos", "n", "doc").mapInArrow(lead, "token long, part int, pos int, n int, doc long, lead_pos int, lead_n int, lead long"), "lists")
+
+
+def leaders(lists: DataFrame) -> DataFrame:
+    """Rows (pos, n, doc, lead_pos, lead_n, lead): leaders of a list's parts with the first of them. Few rows a list."""
+    each = lists.where("part > 0").groupBy("token", "part").agg(F.min(F.struct(F.col("lead_pos").alias("pos"), F.col("lead_n").alias("n"), F.col("lead").alias("doc"))).alias("r"))
+    first = each.groupBy("token").agg(F.min("r").alias("lead"))
+    return each.join(first, "token").select("r.pos", "r.n", "r.doc", F.col("lead.pos").alias("lead_pos"), F.col("lead.n").alias("lead_n"), F.col("lead.doc").alias("lead"))
 
 
 def parity(h: np.ndarray) -> np.ndarray:
@@ -238,7 +286,7 @@ def parity_distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _beside(docs: DataFrame, pairs: DataFrame, k: int, form, test, columns: str) -> DataFrame:
+def _beside(docs: DataFrame, pairs: DataFrame, k: int, seed: int, form, test, columns: str) -> DataFrame:
     """Bring what ``form`` makes of both sets of each pair (a, b) together and emit what ``test`` returns, if anything.
 
     What is made of ``b`` goes to each of its pairs; that of ``a`` goes once to each
@@ -253,8 +301,9 @@ def _beside(docs: DataFrame, pairs: DataFrame, k: int, form, test, columns: str)
             p = (text.mix(ids.view(np.uint64)) & np.uint64(ID_FILTER_BITS - 1)).astype(np.int64)
             wanted = ((filt[p >> 3] >> (p & 7).astype(np.uint8)) & 1 != 0) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
             b = b.filter(pa.array(wanted))
-            for rows, h, first in _sets(b.column(1), k):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(rows)), pa.array(np.diff(first), pa.int32()), pa.array([form(h[x:y]).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "n", "items"])
+            for rows, h, first, second in _double_sets(b.column(1), k, seed):
+                made = [form(h[x:y], second.get(i)).tobytes() for i, (x, y) in enumerate(zip(first[:-1], first[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(rows.start, len(rows)), pa.array(np.diff(first), pa.int32()), pa.array(made, pa.binary())], ["doc", "n", "items"])
 
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -273,14 +322,30 @@ def _beside(docs: DataFrame, pairs: DataFrame, k: int, form, test, columns: str)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
     items = docs.mapInArrow(items_of, "doc long, n int, items binary")
-    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("salts"))
+    # Written, so that the join below has two plain sides and a hub's pairs can be split there.
+    hubs = store.write(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).alias("salts")), "hubs")
     of_b = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b").join(items.withColumnRenamed("doc", "b"), "b")
     of_a = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")).join(items.withColumnRenamed("doc", "a"), "a")
     rows = of_b.select("a", "salt", "b", "n", "items").union(of_a.select("a", "salt", "b", "n", "items"))
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(check, columns)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def both_have(n_a: int, x: np.ndarray, n_b: int, y: np.ndarray) -> int:
+    """The size of the intersection of two sets in the form of ``whole``."""
+    a, b = x[:n_a], y[:n_b]
+    both = np.concatenate([a, b])
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    if inter and n_a < SMALL and n_b < SMALL:
+        return len(set(zip(a.tolist(), x[n_a:].tolist(), strict=True)) & set(zip(b.tolist(), y[n_b:].tolist(), strict=True)))
+    return inter
+
+
+def whole(h: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    return h if second is None else np.concatenate([h, second])
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     """Those of the pairs (a, b) that link, with inter and the sizes, by their whole sets.
 
     Parity bits, a thirtieth of a set's bytes, go first: pairs whose bits differ in
@@ -292,26 +357,28 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
         return () if (n_a + n_b - apart) // 2 >= need(n_a, n_b, num, den) else None
 
     def linked(n_a, x, n_b, y):
-        both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-        both.sort()
-        inter = int((both[1:] == both[:-1]).sum())
+        inter = both_have(n_a, np.frombuffer(x, np.uint64), n_b, np.frombuffer(y, np.uint64))
         return (inter, n_a, n_b) if inter and inter >= need(n_a, n_b, num, den) else None
 
-    left = store.write(_beside(docs, pairs, k, parity, near, "a long, b long").distinct(), "near")
-    return _beside(docs, left, k, lambda h: h, linked, "a long, b long, inter long, n_a long, n_b long")
+    left = store.write(_beside(docs, pairs, k, seed, lambda h, _: parity(h), near, "a long, b long").distinct(), "near")
+    return _beside(docs, left, k, seed, whole, linked, "a long, b long, inter long, n_a long, n_b long")
+
 
+def cross_pairs(lists: DataFrame, classes: DataFrame | None, num: int, den: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Pairs of sets of different classes, or of any sets, that meet in a list at positions and of sizes that let them link.
 
-def cross_pairs(lists: DataFrame, classes: DataFrame | None, num: int, den: int) -> DataFrame:
-    """Pairs of sets of different classes, or of any sets, that meet in a list at positions and of sizes that let them link."""
+    A list of more than ``list_rows`` rows is dealt out by document into blocks; each
+    pair of blocks is a group of its own, and each row goes to the groups of its block.
+    """
 
     def pairs(batches):
         names = ["a", "b"]
 
         def of_list(cols):
-            pos, n, doc, own = cols
+            pos, n, doc, own, side = cols
             order = np.argsort(n, kind="stable")
-            pos, n, doc, own = (c[order] for c in (pos, n, doc, own))
-            size = len(n)
+            pos, n, doc, own, side = (c[order] for c in (pos, n, doc, own, side))
+            size, two = len(n), side.min() != side.max()
             for lo in range(0, size, PAIR_BLOCK):
                 hi = min(size, lo + PAIR_BLOCK)
                 for lo2 in range(lo, size, PAIR_BLOCK):
@@ -324,6 +391,8 @@ def cross_pairs(lists: DataFrame, classes: DataFrame | None, num: int, den: int)
                     a, b = np.arange(lo, hi)[:, None], np.arange(lo2, hi2)[None, :]
                     ok = (own[a] != own[b]) & (b > a) & (n[b] * num <= n[a] * den)
                     ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need(n[a], n[b], num, den)
+                    if two:
+                        ok &= side[a] != side[b]
                     x, y = np.nonzero(ok)
                     if len(x):
                         x, y = doc[lo + x], doc[lo2 + y]
@@ -339,31 +408,37 @@ def cross_pairs(lists: DataFrame, classes: DataFrame | None, num: int, den: int)
             cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
             if carry is not None:
                 cols = [np.concatenate(c) for c in zip(carry, cols, strict=True)]
-            token = cols[0]
-            cut = np.flatnonzero(token[1:] != token[:-1]) + 1
+            token, group = cols[:2]
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (group[1:] != group[:-1])) + 1
             bounds = [0, *cut.tolist()]
             found = []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 1 and (cols[4][lo:hi] != cols[4][lo]).any():
-                    for f in of_list([c[lo:hi] for c in cols[1:]]):
+                if hi - lo > 1 and (cols[5][lo:hi] != cols[5][lo]).any():
+                    for f in of_list([c[lo:hi] for c in cols[2:]]):
                         found.append(f)
                         if sum(len(x[0]) for x in found) > 1_000_000:
                             yield from emit(found)
                             found = []
             yield from emit(found)
             carry = [c[bounds[-1] :] for c in cols]
-        if carry is not None and len(carry[0]) > 1 and (carry[4] != carry[4][0]).any():
-            for f in of_list(carry[1:]):
+        if carry is not None and len(carry[0]) > 1 and (carry[5] != carry[5][0]).any():
+            for f in of_list(carry[2:]):
                 yield from emit([f])
 
     if classes is None:
         rows = lists.select("token", "pos", "n", "doc", F.col("doc").alias("own"))
-        return rows.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
-    rows = lists.select("token", "pos", "n", "doc").join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "pos", "n", "doc", F.coalesce("component", "doc").alias("own"))
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(pairs, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
+    else:
+        rows = store.write(lists.select("token", "pos", "n", "doc").join(classes.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "pos", "n", "doc", F.coalesce("component", "doc").alias("own")), "owned")
+    # Long lists: how many blocks each has; none if all its sets are of one class already.
+    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("own").alias("lo"), F.max("own").alias("hi")).where(F.col("rows") > list_rows)
+    long = store.write(counted.select("token", F.when(F.col("lo") < F.col("hi"), F.ceil(F.col("rows") / list_rows)).otherwise(F.lit(0)).alias("blocks")), "long")
+    dealt = rows.join(long, "token", "left").where("blocks is null or blocks > 0").withColumn("side", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(F.lit(0)))
+    to = F.when(F.col("blocks") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: 1 + F.least(F.col("side"), t) * F.col("blocks") + F.greatest(F.col("side"), t))).otherwise(F.array(F.lit(0).cast("long")))
+    rows = dealt.select("token", F.explode(to).alias("group"), "pos", "n", "doc", "own", "side")
+    return rows.repartition("token", "group").sortWithinPartitions("token", "group").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, every_link: bool = True, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, n_shingles, rep, component_id) and confirmed links between representatives (a, b, inter, n_a, n_b).
 
     The links are all pairs of different sets that link, the square of a group in
@@ -372,26 +447,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all listed; members are the same.
     """
     store.small_batches(docs.sparkSession)
+    seed = random.SystemRandom().getrandbits(62)  # results do not depend on it
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = store.write(signatures(docs, k), "signed")
+    signed = store.write(signatures(docs, k, seed), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = store.write(some.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     shingles = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    lists = index_lists(docs, classes.select("rep").distinct(), shingles, k, num, den)
+    lists = index_lists(docs, classes.select("rep").distinct(), shingles, k, num, den, seed, list_rows)
 
     n1, n2, p1, p2 = (F.col(c).cast("long") for c in ("n", "lead_n", "pos", "lead_pos"))
     near = (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (F.least(n1 - p1, n2 - p2) * (num + den) >= num * (n1 + n2))
-    stars = store.write(lists.where((F.col("doc") != F.col("lead")) & near).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
-    first = store.write(confirm(docs, stars, k, num, den), "links1")
+    met = ["pos", "n", "doc", "lead_pos", "lead_n", "lead"]
+    stars = store.write(lists.select(*met).union(leaders(lists).select(*met)).where((F.col("doc") != F.col("lead")) & near).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
+    first = store.write(confirm(docs, stars, k, num, den, seed), "links1")
     # Rows that share an id are one node; their sets' representatives meet through it.
     twice = some.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
     shared = some.join(twice, "doc_id", "left_semi").join(classes, ["n_shingles", "s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    left = store.write(cross_pairs(lists, None if every_link else components(first), num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    left = store.write(cross_pairs(lists, None if every_link else components(first), num, den, list_rows).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     store.drop(lists)
     # Two lists may have led by either set of a pair.
     swap = F.col("a") > F.col("b")
     either = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("inter", "inter"), ("n_a", "n_b"), ("n_b", "n_a"))]
-    links = store.write(first.union(confirm(docs, left, k, num, den)).select(*either).distinct(), "links")
+    links = store.write(first.union(confirm(docs, left, k, num, den, seed)).select(*either).distinct(), "links")
     for t in (stars, first, left):
         store.drop(t)
     reached = components(links.select("a", "b").union(shared))
