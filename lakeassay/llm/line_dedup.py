@@ -10,18 +10,21 @@
 3. Lines to drop reach the documents as a broadcast table if it is measured to
    fit ``broadcast_bytes``, else by a join on the document id.
 
-A filter too small for its corpus lets more lines through to the exact stage; it
-never changes a result. ``filter_bits`` (a power of 2) should be about 16 times
-the lines of the corpus, as far as executors can hold an eighth of it in bytes.
-
-Edge cases: a null or empty text is one empty line; each row counts as one
-document, and rows that share the id that keeps a line all keep it; a null id
-keeps a line only where no other id holds it; a text that loses every line
+Filters have 16 bits, or a little more, for each line of the corpus, counted first,
+between ``MIN_BITS`` and ``MAX_BITS`` (512 MiB a filter); ``filter_bits`` sets them by
+hand. One too small for its corpus lets more lines through to the exact stage; it
+never changes a result.
+
+Edge cases: a null or empty text is one empty line; rows that share an id are one
+document, and all keep what that id keeps; null ids are documents of their own each,
+and keep a line only where no other id holds it; a text that loses every line
 becomes empty; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import store, text
 
-FILTER_BITS = 1 << 27
+MIN_BITS, MAX_BITS = 1 << 23, 1 << 31
 PROBES = 2
 BLOCK_BYTES = 1 << 16
 BROADCAST_BYTES = 32 << 20
@@ -63,7 +66,14 @@ def _distinct(x: text.Lines, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     return k[new], row[new]
 
 
-def repeat_filter(docs: DataFrame, min_chars: int, filter_bits: int) -> bytes:
+def filter_size(docs: DataFrame) -> int:
+    """Bits for a filter of all lines: a power of 2, 16 or more a line between the bounds."""
+    broken = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = docs.agg(F.count(F.lit(1)) + F.coalesce(F.sum(broken), F.lit(0))).first()[0]
+    return min(max(1 << (16 * n).bit_length(), MIN_BITS), MAX_BITS)
+
+
+def repeat_filter(docs: DataFrame, min_chars: int, filter_bits: int, seed: int = 0) -> bytes:
     """The merged filter of lines that at least two documents seem to hold."""
 
     def fill(batches):
@@ -71,7 +81,7 @@ def repeat_filter(docs: DataFrame, min_chars: int, filter_bits: int) -> bytes:
 
         once, twice = np.zeros(filter_bits >> 3, np.uint8), np.zeros(filter_bits >> 3, np.uint8)
         for b in batches:
-            for x in text.lines(b.column(0)):
+            for x in text.lines(b.column(0), seed=seed):
                 h, n = np.unique(x.hash[_distinct(x, min_chars)[0]], return_counts=True)
                 probes = _probes(h, filter_bits)
                 again = _seen(once, probes) | (n > 1)
@@ -110,14 +120,14 @@ def repeat_filter(docs: DataFrame, min_chars: int, filter_bits: int) -> bytes:
     return out.tobytes()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep: str = "largest", filter_bits: int = FILTER_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep: str = "largest", filter_bits: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, text (what is left), n_lines (before), n_dropped, for every document.
 
     A line's key is the line without white space at both ends and with A-Z as a-z.
     Keys of at least ``min_chars`` code points in at least ``min_docs`` documents
     lose all their lines except in the ``keep`` ("largest" or "smallest") id.
     """
-    if filter_bits & (filter_bits - 1) or filter_bits < 64:
+    if filter_bits is not None and (filter_bits & (filter_bits - 1) or filter_bits < 64):
         raise ValueError("filter_bits is a power of 2")
     if min_docs < 2:
         raise ValueError("min_docs is at least 2")
@@ -125,22 +135,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store.small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    seen = spark.sparkContext.broadcast(repeat_filter(docs, min_chars, filter_bits))
+    seed = random.SystemRandom().getrandbits(62)  # results do not depend on it
+    filter_bits = filter_size(docs) if filter_bits is None else filter_bits
+    seen = spark.sparkContext.broadcast(repeat_filter(docs, min_chars, filter_bits, seed))
 
     def suspects(batches):
         filt = np.frombuffer(seen.value, np.uint8)
         for b in batches:
-            for x in text.lines(b.column(1)):
-                k, row = _distinct(x, min_chars)
-                hit = _seen(filt, _probes(x.hash[k], filter_bits))
-                k, row = k[hit], row[hit]
+            for x in text.lines(b.column(1), seed=seed):
+                k = np.flatnonzero(x.points >= min_chars)
+                k = k[_seen(filt, _probes(x.hash[k], filter_bits))]
+                row = np.searchsorted(x.first, k, "right") - 1
                 raw = x.data.tobytes()
-                keys = [raw[s:e].lower() for s, e in zip(x.start[k].tolist(), x.end[k].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + x.rows.start)), pa.array(keys, pa.binary())], ["doc_id", "key"])
+                # Once a row, by the keys themselves.
+                found = list(dict.fromkeys(zip(row.tolist(), (raw[s:e].lower() for s, e in zip(x.start[k].tolist(), x.end[k].tolist(), strict=True)), strict=True)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r + x.rows.start for r, _ in found], pa.int64())), pa.array([key for _, key in found], pa.binary())], ["doc_id", "key"])
 
     found = store.write(docs.mapInArrow(suspects, f"doc_id {kind}, key binary"), "suspects")
     choose = F.max if keep == "largest" else F.min
-    sure = store.write(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), choose("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"), "repeats")
+    # Repeated ids meet first; a key's rows are combined before they meet.
+    each = found.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    sure = store.write(each.groupBy("key").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("n"), choose("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"), "repeats")
     size = sure.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         known = spark.sparkContext.broadcast({bytes(k): keeper for k, keeper in sure.collect()})
