@@ -12,9 +12,11 @@ come from every word of the corpus and shuffle as (word, count). The most freque
 ``table`` words, and each bucket's totals, go to executors; all other words of the
 texts meet their counts in a join, so every word has its own share. The network
 learns on every window of every document, a ``stride``-th of them a round with as
-many rounds at least, so each word is a target: each round sends the weights out, each task takes its own steps, and the weights' mean over tasks (by
-windows seen) is the next round's start. So both what is counted and what is
-learned from grow with the corpus.
+many rounds at least, so each word is a target: each round sends the weights out,
+each task takes its own steps, and the weights' mean over tasks (by windows seen) is
+the next round's start. Means are taken piece by piece in the order of the tasks, so
+reruns over the same files agree. So both what is counted and what is learned from
+grow with the corpus.
 
 Edge cases: null and empty texts have 0 words, a score of 0 and a null mean; a text
 of one word is predicted from padding alone; rows are scored one by one, so
@@ -39,6 +41,7 @@ GROUP = 64
 HIDDEN = 32
 TABLE = 1 << 16
 BATCH = 4096
+PIECES = 256
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -228,7 +231,7 @@ def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, stride: int, rate: float) -> list[np.ndarray]:
-    """Rounds of local steps and averaging; 16 sums at most reach the driver in each."""
+    """Rounds of local steps and averaging. Weights are averaged in pieces, one place a piece; one model reaches the driver."""
     like = [np.empty(w.shape, np.float32) for w in weights]
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -249,25 +252,34 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
                             learner.step(x[:, lo : lo + BATCH], y[lo : lo + BATCH])
                         kept, held = [], 0
             if held:
-                learner.step(np.concatenate([k[0] for k in kept], axis=1), np.concatenate([k[1] for k in kept]))
+                x, y = np.concatenate([k[0] for k in kept], axis=1), np.concatenate([k[1] for k in kept])
+                for lo in range(0, len(y), BATCH):
+                    learner.step(x[:, lo : lo + BATCH], y[lo : lo + BATCH])
             if learner.seen:
-                total = _flat(learner.w) * np.float32(learner.seen)
-                key = int(np.abs(total[:64]).sum() * 1e3) % 16
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([learner.seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["key", "seen", "sums"])
+                total, part = _flat(learner.w) * np.float32(learner.seen), TaskContext.get().partitionId()
+                pieces = np.array_split(total, PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES), pa.int32()), pa.array([part] * PIECES, pa.int32()), pa.array([learner.seen] * PIECES, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "part", "seen", "sums"])
 
         def merge(batches):
-            total, n = None, 0
+            at, n, total = None, 0, None
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["piece", "mean"])
+
             for b in batches:
-                for _, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    s = np.frombuffer(s, np.float32)
-                    total, n = (s if total is None else total + s), n + k
+                for piece, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if piece != at:
+                        if n:
+                            yield out()
+                        at, n, total = piece, 0, 0.0
+                    n, total = n + k, total + np.frombuffer(s, np.float32).astype(np.float64)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["seen", "sums"])
+                yield out()
 
-        sums = docs.select("text").mapInArrow(learn, "key int, seen long, sums binary").repartition(16, "key").mapInArrow(merge, "seen long, sums binary").collect()
-        n = sum(r.seen for r in sums)
-        if n:
-            weights = _shaped(sum(np.frombuffer(bytes(r.sums), np.float32) for r in sums) / np.float32(n), like)
+        learned = docs.select("text").mapInArrow(learn, "piece int, part int, seen long, sums binary").repartition("piece").sortWithinPartitions("piece", "part")
+        means = {r.piece: bytes(r["mean"]) for r in learned.select("piece", "seen", "sums").mapInArrow(merge, "piece int, mean binary").collect()}
+        if means:
+            weights = _shaped(np.concatenate([np.frombuffer(means[k], np.float32) for k in range(PIECES)]), like)
     return weights
 
 
