@@ -1,0 +1,187 @@
+"""Paths that only large inputs take, forced on small ones, and results that rest on hashes, against plain versions."""
+
+import collections
+import itertools
+import random
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lakeassay.llm import decontaminate, jaccard_join, line_dedup, mixing, pseudo_likelihood, text
+from lakeassay.llm.queries import SQL
+
+SYL = ["ka", "lo", "mi", "ter", "an", "vor", "sul", "pe", "rin", "do", "ga", "tu", "él", "ñu"]
+
+
+def word(rng):
+    return "".join(rng.choice(SYL) for _ in range(rng.randint(1, 4)))
+
+
+def prose(rng, n):
+    return " ".join(word(rng) for _ in range(n))
+
+
+def docs_df(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 7, "s") for i, t in rows], "doc_id long, text string, key string, n long, label string")
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_tell_words_of_any_structure_apart():
+    a, b = thue_morse(2048)
+    spans = {x[:n] for x in (a, b, "x" * 4096, "xy" * 2048) for n in (*range(1, 200), 1000, 2048)} | {"".join(p) for n in (1, 2, 3) for p in itertools.product("abc", repeat=n)}
+    spans = sorted(spans)
+    for seed in (0, 12345):
+        (w,) = text.words(pa.array([" ".join(spans)]), 1 << 30, seed)
+        assert len(w.hash) == len(spans) == len(np.unique(w.hash))
+        (x,) = text.lines(pa.array(["\n".join(spans)]), 1 << 30, seed)
+        assert len(np.unique(x.hash)) == len(spans) and (x.hash == w.hash).all()
+    (w,) = text.words(pa.array(["left Right left", "RIGHT " + "long" * 50, "é " + "LONG" * 50]))
+    assert w.hash[0] == w.hash[2] and w.hash[1] == w.hash[3] and w.hash[4] == w.hash[6]
+
+
+def test_documents_that_share_nothing_do_not_link(spark):
+    a, b = thue_morse(2048)
+    members, links = jaccard_join.near_duplicates(docs_df(spark, [(1, a), (2, b), (3, a.upper())]))
+    assert {r.doc_id: r.component_id for r in members.collect()} == {1: 1, 2: 2, 3: 1} and links.count() == 0
+
+
+def test_small_sets_carry_a_second_hash():
+    rows = ["a b c d e f g", "x y", "k " * 40, " ".join(f"w{i}" for i in range(60)), ""]
+    ((_, h, first, second),) = jaccard_join._double_sets(pa.array(rows), 5, 9)
+    assert np.diff(first).tolist() == [3, 1, 1, 56, 0] and {k: len(v) for k, v in second.items()} == {0: 3, 1: 1, 2: 1}
+    same = next(iter(jaccard_join._double_sets(pa.array(["zz", *rows]), 5, 9)))
+    assert (same[3][1] == second[0]).all()
+    x = jaccard_join.whole(h[:3], second[0])
+    assert jaccard_join.both_have(3, x, 3, x) == 3
+    other = x.copy()
+    other[3:] += np.uint64(1)  # as if the first hashes met by chance
+    assert jaccard_join.both_have(3, x, 3, other) == 0
+
+
+@pytest.mark.parametrize("every_link", [True, False])
+def test_long_lists_are_dealt_out_without_loss(spark, every_link):
+    rng = random.Random(15)
+    base = [prose(rng, 200).split() for _ in range(2)]
+    rows = [(i, prose(rng, rng.randint(1, 50))) for i in range(30)]
+    for i in range(100, 140):
+        w = list(base[i % 2])
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = word(rng) + "y"
+        rows.append((i, " ".join(w)))
+    sets = {}
+    for i, t in sorted(rows):
+        w = t.lower().split()
+        sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), i)
+    want = {(i, j) for x, i in sets.items() for y, j in sets.items() if i < j and x & y and 100 * len(x & y) >= 80 * len(x | y)}
+    members, links = jaccard_join.near_duplicates(docs_df(spark, rows), every_link=every_link, list_rows=5)
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()}
+    assert got == want if every_link else got <= want
+    plain, _ = jaccard_join.near_duplicates(docs_df(spark, rows))
+    assert sorted(members.collect()) == sorted(plain.collect()) and len(want) > 100
+
+
+def test_line_dedup_counts_ids_as_its_sql_does(spark):
+    line = "one line that several documents hold"
+    rows = [(1, line), (1, line + "\nown"), (2, f"{line}\n\n{line}"), (None, line), (5, None), (6, "")]
+    for more in ([], [(3, "x\n " + line.upper())]):
+        docs = rows[:3] + rows[4:] + more
+        got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs_df(spark, docs)).collect())
+        dropped = {i for i, _, n, _ in got if n}
+        db = duckdb.connect()
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+        assert dropped == {r[0] for r in db.execute(SQL["op1_line_dedup"]).fetchall() if r[2]} == ({1, 2} if more else set())
+    # With a null id there are three documents; the null id does not keep the line.
+    got = {(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(docs_df(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 0), (None, 1), (5, 0), (6, 0)}
+    assert line_dedup.filter_size(docs_df(spark, rows)) == line_dedup.MIN_BITS
+
+
+def test_newton_reaches_every_target(spark):
+    n = 300_000
+    sources = spark.range(n).select(F.format_string("s%07d", "id").alias("source"), F.when(F.col("id") == 0, n * 50).otherwise(F.col("id") % 100 + 1).alias("source_size"), F.lit(1).cast("long").alias("n_docs"))
+    aimed = mixing.targets(sources)
+    got = mixing.balance(aimed).agg(F.max(F.abs(F.col("source_size") * F.col("rate") / F.col("target") - 1)), F.sum("target"), F.sum("source_size"), F.max(F.col("target") / F.col("source_size"))).first()
+    assert got[0] <= 1e-9 and got[1] == pytest.approx(got[2]) and got[3] <= 3 + 1e-9
+    first = aimed.where("source = 's0000000'").first()
+    assert first.target < first.source_size / 1000
+    with pytest.raises(RuntimeError, match="off its target"):
+        mixing.balance(aimed.limit(50), steps=1, rounds=1)
+
+
+def test_mixing_with_groups_meets_both_margins(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(1, 60)), rng.choice("abc"), rng.choice(["en", "en", "de", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix(df, also="lang", also_share={"en": 0.4, "de": 0.25}).collect()
+    lang = {r[0]: r[3] for r in rows}
+    total = sum(r.size for r in got)
+    of_source, of_lang, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        of_source[r.source] += r.taken
+        of_lang[lang[r.doc_id]] += r.taken
+        target[r.source] = r.target
+    assert all(abs(of_source[s] - t) <= 0.01 * total for s, t in target.items())
+    assert all(abs(of_lang[k] - x * total) <= 0.01 * total for k, x in (("en", 0.4), ("de", 0.25), (None, 0.35)))
+    # Rates are products of a source's and a group's factor, so cross ratios are 1.
+    rate = {(r.source, lang[r.doc_id]): r.rate for r in got}
+    assert rate["a", "en"] * rate["b", "de"] == pytest.approx(rate["a", "de"] * rate["b", "en"])
+    with pytest.raises(RuntimeError):
+        mixing.mix(df, also="lang", also_share={"de": 0.95})
+    with pytest.raises(ValueError):
+        mixing.mix(df, also="lang", also_share={"de": 1.5})
+
+
+def test_short_items_and_blocks_of_items(spark):
+    rng = random.Random(12)
+    vocabulary = [word(rng) + word(rng) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, say(n)) for k, n in enumerate([4, 5, 7, 4] + [30] * 60)] + [(90, say(3)), (91, items_text := say(6)), (92, items_text)]
+    rows, want = [], set()
+    for k, t in items:
+        rows.append((1000 + k, f"{say(20)} {t.upper()}. {say(20)}"))
+        if len(t.split()) >= 4:
+            want.add((1000 + k, k))
+    want |= {(1091, 92), (1092, 91)}
+    w = items[1][1].split()
+    rows += [(1, " ".join(w[:3] + ["odd"] + w[3:])), (2, " ".join(reversed(w))), (3, " ".join(w[1:])), (4, None)]
+    rows += [(5, " ".join(w[:2])), (6, " ".join(w[2:]))]  # not across documents
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for options in ({}, {"block_items": 8}, {"block_items": 8, "scan_bytes": 1 << 16}):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_df(spark, rows), bench, **options).collect()}
+        assert got == want, options
+
+
+def test_score_equals_a_plain_softmax():
+    v = pseudo_likelihood.Vocabulary(np.arange(1, 300, dtype=np.uint64), np.arange(300, 1, -1).astype(float), np.full(64, 50.0), np.full(64, 4.0), 90)
+    weights = pseudo_likelihood.start_weights(v, 8, 1)
+    rng = np.random.default_rng(0)
+    weights = [w + rng.standard_normal(w.shape).astype(np.float32) * (w > -100) for w in weights]
+    c, first = rng.integers(0, v.classes, 50).astype(np.int32), np.array([0, 20, 20, 21, 50])
+    got = pseudo_likelihood.log_probabilities(weights, pseudo_likelihood.contexts(c, first, v.classes), c)
+    e, out, bias, inner, inner_bias = (w.astype(float) for w in weights)
+    for a, z in zip(first[:-1], first[1:]):
+        for i in range(a, z):
+            h = np.zeros(8)
+            for k, off in enumerate((-3, -2, -1, 1, 2, 3)):
+                h += e[k][c[i + off] if a <= i + off < z else v.classes]
+            h = np.tanh(h)
+            g, j = divmod(int(c[i]), pseudo_likelihood.GROUP)
+            over = lambda s, at: s[at] - np.log(np.exp(s).sum())
+            assert got[i] == pytest.approx(over(h @ out + bias, g) + over(h @ inner[g] + inner_bias[g], j), rel=1e-3, abs=1e-3)
+
+
+def test_scores_of_reruns_agree(spark, tmp_path):
+    rng = random.Random(8)
+    docs_df(spark, [(i, prose(rng, 50)) for i in range(400)]).repartition(6).write.parquet(str(tmp_path / "d"))
+    runs = [{r.doc_id: r.pll for r in pseudo_likelihood.score(spark.read.parquet(str(tmp_path / "d"))).collect()} for _ in range(2)]
+    assert runs[0] == runs[1]
