@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
         return int(e.code or 0)
     if args.output and Path(args.output).resolve() == Path(args.path).resolve():
         print("the output would overwrite the input", file=sys.stderr)
-        return 2
+        return 1
     from pyspark.sql import SparkSession
 
     from .plans.investigate import investigate_file
@@ -41,7 +41,13 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     text = markdown(d, args.target) if args.markdown else d.to_json(None if args.compact else 2) + "\n"
     if args.output:
-        Path(args.output).write_text(text, encoding="utf-8")
+        try:
+            Path(args.output).parent.mkdir(parents=True, exist_ok=True)
+            Path(args.output).write_text(text, encoding="utf-8")
+        except OSError as e:
+            print(f"the report could not be written: {e.strerror or type(e).__name__}", file=sys.stderr)
+            return 1
+        sys.stdout.write(summary(d) + f"written to {args.output}\n")
     else:
         sys.stdout.write(text)
     if args.summary:

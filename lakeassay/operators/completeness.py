@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import names as N
 from ..functions import vocab as V
 from ..plans.context import Context, Evidence, col, finding
-from ..plans.frame import number
 from ..plans.profile import in_batches, walk_pairs
+from ..plans.quantiles import quantiles
 
 NAME = "completeness"
 
@@ -36,6 +36,12 @@ def suspicious(sentinel: int, share_not_negative: float, q25: float, q75: float)
     return iqr > 0 and not q25 - 3 * iqr <= sentinel <= q75 + 3 * iqr
 
 
+def others(freq: DataFrame, codes: list[tuple[int, int]]) -> DataFrame:
+    """(key, x, n): the finite values of a column other than a code; ``key`` numbers the (column, code) pairs."""
+    some = freq.sparkSession.createDataFrame([(i, k, float(s)) for i, (k, s) in enumerate(codes)], "key int, k int, code double")  # six a column at most
+    return freq.where(X.finite(F.col("x"))).join(F.broadcast(some), "k").where("x <> code").select("key", "x", "n")
+
+
 def find(ctx: Context) -> list:
     if not ctx.rows:
         return []
@@ -68,21 +74,18 @@ def _numeric_sentinels(ctx: Context) -> list:
     seen = {(ctx.frame.columns[r.k], codes[r.value]): r.n for r in ctx.freq.where(F.col("value").isin(*codes)).select("k", "value", "n").collect()}
     hits = {(c, s): seen.get((c, s), 0) for c in names for s in V.NUMERIC_SENTINELS}
     found = [k for k, n in hits.items() if n and ctx.by_name[k[0]].finite_count - n >= 5]
-    aggs: dict = {}
-    for c, s in found:
-        d = number(ctx.frame, c).cast("double")
-        rest = F.when(X.finite(col(c)) & (col(c) != s), d)
-        aggs[c, s, "q"] = F.percentile(rest, F.array(F.lit(0.25), F.lit(0.75)))
-        aggs[c, s, "share"] = F.avg(F.when(rest.isNotNull(), (rest >= 0).cast("double")))
-        aggs[c, s, "lo"], aggs[c, s, "hi"] = F.min(rest), F.max(rest)
-    got = in_batches(ctx.df, aggs)
+    if not found:
+        return []
+    rest = others(ctx.freq, [(ctx.frame.columns.index(c), s) for c, s in found])
+    q = quantiles(rest, (0.25, 0.75), max(ctx.by_name[c].unique_count for c, _ in found))
+    got = {r.key: r for r in rest.groupBy("key").agg((F.sum(F.when(F.col("x") >= 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
     out = []
-    for c, s in found:
-        if not suspicious(s, got[c, s, "share"], *got[c, s, "q"]):
+    for k, (c, s) in enumerate(found):
+        if not suspicious(s, got[k].share, *q[k]):
             continue
         n, ratio = hits[c, s], hits[c, s] / ctx.rows
         at, _ = ctx.examples(col(c) == s)
-        span = f"[{got[c, s, 'lo']}, {got[c, s, 'hi']}]"
+        span = f"[{got[k].lo}, {got[k].hi}]"
         out.append(finding(f"FND-CMP-SENT-NUM-{c}-{s}", NAME, "high" if ratio > 0.05 else "medium", f"{s} in {c} looks like a code for missing", f"{s} occurs {n} times while all else in {c} lies in {span}; as a number it distorts every mean.", [c], n, ratio, Evidence("numeric_sentinel_outlier", s, span, at, [s]), f"Turn {s} in {c} into null."))
     return out
 

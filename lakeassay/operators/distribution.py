@@ -11,6 +11,7 @@ from ..functions import names as N
 from ..plans.context import Context, Evidence, col, finding
 from ..plans.frame import number
 from ..plans.profile import in_batches, numeric_stats
+from ..plans.quantiles import quantiles
 
 NAME = "distribution"
 BENFORD = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
@@ -30,6 +31,16 @@ def benford_deviation(counts: dict[int, int]) -> float:
     return sum(abs(counts.get(d, 0) / total - BENFORD[d]) for d in BENFORD) / 9
 
 
+def median_deviations(ctx: Context, medians: dict[str, float]) -> dict[str, float]:
+    """The median distance of each column's values from its median."""
+    if not medians:
+        return {}
+    at = {ctx.frame.columns.index(c): c for c in medians}
+    some = ctx.freq.sparkSession.createDataFrame([(k, float(medians[c])) for k, c in at.items()], "k int, median double")  # a row a column
+    off = ctx.freq.where(X.finite(F.col("x"))).join(F.broadcast(some), "k").select(F.col("k").alias("key"), F.abs(F.col("x") - F.col("median")).alias("x"), "n")
+    return {at[k]: q[0] for k, q in quantiles(off, (0.5,), max(ctx.by_name[c].unique_count for c in medians)).items()}
+
+
 def find(ctx: Context) -> list:
     if ctx.rows < 5:
         return []
@@ -39,7 +50,7 @@ def find(ctx: Context) -> list:
     x = {c: F.when(X.finite(col(c)), number(ctx.frame, c).cast("double")) for c in names}
     quart = {c: ctx.quartiles[c] for c in names}
     flat = [c for c in names if quart[c][2] <= quart[c][0]]
-    mads = in_batches(ctx.df, {c: F.percentile(F.abs(x[c] - F.lit(quart[c][1])), 0.5) for c in flat})
+    mads = median_deviations(ctx, {c: quart[c][1] for c in flat})
     limit = {c: bounds(*quart[c], mads.get(c, 0.0)) for c in names}
     shape = {"out": lambda v, lo, hi: F.count(F.when((v > hi) | (v < lo), 1)), "skew": lambda v, *_: F.skewness(v.cast("double")), "kurt": lambda v, *_: F.kurtosis(v.cast("double"))}
     got = numeric_stats(ctx.frame, shape, names, {"lo": [limit[c][0] for c in names], "hi": [limit[c][1] for c in names]})

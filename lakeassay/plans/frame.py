@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import unique_names
+from .scratch import written
 
 ROW_ID = "_row_id"
 
@@ -53,11 +54,34 @@ def kind_of(t: T.DataType) -> str:
     return "other"
 
 
+#: Nodes of a plan that leave every row in its partition and place, whatever columns are asked for.
+STEADY = {"Project", "Filter", "SubqueryAlias", "View", "Union", "Generate", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range", "InMemoryRelation", "ExternalRDD", "SerializeFromObject", "DeserializeToObject", "MapPartitions", "MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "DataSourceV2ScanRelation", "StreamingDataSourceV2ScanRelation", "OneRowRelation"}
+
+
+def stays(df: DataFrame) -> bool:
+    """Whether two runs of parts of ``df`` see the same rows in the same partitions and order."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan] if plan.deterministic() else []
+    if not todo:
+        return False
+    while todo:
+        p = todo.pop()
+        if p.nodeName() not in STEADY:
+            return False
+        if p.nodeName() == "LogicalRelation" and p.relation().getClass().getSimpleName() == "HadoopFsRelation" and p.relation().bucketSpec().isDefined():
+            return False  # read by bucket or not, as each query sees fit
+        children = p.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return True
+
+
 def canonical(df: DataFrame, row_id: str | None = None) -> Frame:
     """``df`` with text, number, boolean and timestamp columns only, and ``_row_id``.
 
     Row ids are ``row_id`` if that column is named, else positions from 0 in the
-    order of the table's partitions: one count of each partition and no shuffle.
+    order of the table's partitions: one count of each partition and no shuffle. A
+    table that is more than a scan (a join, a sort, ...) is run once and written, as
+    it may be dealt out otherwise each time it runs.
     Nested columns are analysed as JSON text for nulls and distinct values only.
     """
     kept = [i for i, c in enumerate(df.columns) if c != row_id]
@@ -83,12 +107,19 @@ def canonical(df: DataFrame, row_id: str | None = None) -> Frame:
     if row_id is not None:
         rid = F.col(f"_c{[x for x in range(len(df.columns)) if x not in kept][0]}").cast("long")
     else:
-        counts = {r[0]: r[1] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}
-        rid = F.monotonically_increasing_id()
+        here = F.monotonically_increasing_id()
+        if not stays(df):
+            df = written(df.withColumn("_at", here), "rows")
+            here = F.col("_at")
+        part = F.shiftright(here, 33).cast("int")
+        counts = {r[0]: r[1] for r in df.select(part.alias("p")).groupBy("p").count().collect()}
+        rid = here
         if len(counts) > 1:
             start, at = [], 0
             for p in range(max(counts) + 1):
                 start.append(at)
                 at += counts.get(p, 0)
-            rid = F.get(F.lit(start), F.spark_partition_id()) + rid.bitwiseAND(F.lit((1 << 33) - 1))
+            rid = F.get(F.lit(start), part) + here.bitwiseAND(F.lit((1 << 33) - 1))
+        elif max(counts, default=0):
+            rid = here.bitwiseAND(F.lit((1 << 33) - 1))
     return Frame(df.select(rid.alias(ROW_ID), *out), kinds)

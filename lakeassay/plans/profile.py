@@ -12,10 +12,12 @@ from ..functions import names as N
 from ..functions import vocab as V
 from .frame import ROW_ID, Frame, col, number
 from .model import ColumnProfile, Summary, clean_cell
+from .quantiles import quantiles
 
 BATCH = 90  # aggregates in one query; more would not compile into one method
 WIDE = 64
 FIRST_VALUES, FIRST_ROWS = 200, 20
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def in_batches(df: DataFrame, aggregates: dict[str, Column], size: int = BATCH) -> dict:
@@ -72,7 +74,7 @@ def unpivoted(frame: Frame, names: list[str]) -> DataFrame:
 
 
 def frequencies(frame: Frame, names: list[str] | None = None) -> DataFrame:
-    """(k, value, n, first_row): how often each distinct value occurs, and where first.
+    """(k, value, x, n, first_row): how often each distinct value occurs, and where first; ``x`` is it as a number.
 
     The only shuffle by value: it gives distinct counts, first values, sentinels,
     formats and collisions, and its map side has combined the frequent values.
@@ -93,7 +95,8 @@ def frequencies(frame: Frame, names: list[str] | None = None) -> DataFrame:
     counted = rows.groupBy("k", "i", "d", "s").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
     of = lambda kind: F.col("k").isin(*[k for k, x in enumerate(kinds) if x == kind]) if kind in kinds else F.lit(False)
     value = F.when(of("bool"), F.when(F.col("i") == 1, "true").otherwise("false")).when(of("datetime64[ns]"), F.timestamp_micros("i").cast("string"))
-    return counted.select("k", value.otherwise(F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))).alias("value"), "n", "first_row")
+    x = F.when(of("float64"), F.col("d")).when(of("int64") | of("bool"), F.col("i").cast("double"))
+    return counted.select("k", value.otherwise(F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))).alias("value"), x.alias("x"), "n", "first_row")
 
 
 def first_values(freq: DataFrame, k: int) -> DataFrame:
@@ -153,8 +156,11 @@ def profile(frame: Frame, freq: DataFrame | None = None) -> tuple[Summary, list[
     """
     freq = frequencies(frame) if freq is None else freq
     rows = frame.df.count()
-    got = numeric_stats(frame, {"finite": F.count, "min": F.min, "max": F.max, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double")), "quartiles": lambda c: F.percentile(c.cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
+    got = numeric_stats(frame, {"finite": F.count, "min": F.min, "max": F.max, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double"))})
     totals = {r.k: r for r in freq.groupBy("k").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"), F.sum(F.col("n") * F.octet_length("value")).alias("bytes")).collect()}
+    numbers = {k: c for k, c in enumerate(frame.columns) if c in set(frame.numeric()) and got["finite", c]}
+    quart = quantiles(freq.where(F.col("k").isin(*numbers) & X.finite(F.col("x"))).select(F.col("k").alias("key"), "x", "n"), QUARTILES, max(totals[k].u for k in numbers)) if numbers else {}
+    quart = {c: quart.get(k) for k, c in numbers.items()}
     values: dict[int, list[str]] = {}
     for r in sorted(first_values(freq, FIRST_VALUES).collect(), key=lambda r: (r.k, r.place)):
         values.setdefault(r.k, []).append(r.value)
@@ -187,14 +193,14 @@ def profile(frame: Frame, freq: DataFrame | None = None) -> tuple[Summary, list[
             p.min_value, p.max_value = clean_cell(got["min", c]), clean_cell(got["max", c])
             if kind == "float64":
                 p.min_value, p.max_value = float(p.min_value), float(p.max_value)
-            p.mean, p.median = round(got["mean", c], 4), round(got["quartiles", c][1], 4)
+            p.mean, p.median = round(got["mean", c], 4), round(quart[c][1], 4)
             p.std_dev = None if got["std", c] is None else round(got["std", c], 4)
         out.append(p)
     # One column with all values different means that no row repeats.
     dups = 0 if rows == 0 or any(p.unique_count == rows and p.null_count == 0 for p in out) else duplicate_rows(frame)[0]
     cells, missing = rows * len(out), sum(p.null_count for p in out)
     summary = Summary(cells, missing, round(missing / cells, 6) if cells else 0.0, dups, round(dups / rows, 6) if rows else 0.0, sum(p.memory_bytes or 0 for p in out))
-    return summary, out, freq, {c: got["quartiles", c] for c in frame.numeric()} | {"rows": rows}
+    return summary, out, freq, {c: quart.get(c) for c in frame.numeric()} | {"rows": rows}
 
 
 def _typed(v: str, source: str, kind: str):

@@ -21,6 +21,10 @@ def _table(head: list[str], rows: list[list]) -> list[str]:
     return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(map(_cell, r)) + " |" for r in rows)]
 
 
+def _figure(x: float | None) -> str:
+    return "-" if x is None else f"{x:.2f}"
+
+
 def markdown(d, target: str | None = None) -> str:
     s, m, t = d.summary, d.metadata, d.trust_score
     counts = {v: sum(f.severity == v for f in d.findings) for v in V.SEVERITIES}
@@ -37,7 +41,7 @@ def markdown(d, target: str | None = None) -> str:
             out += [f"- rows: {', '.join(map(str, e.sample_row_indices))}"] if e.sample_row_indices else []
         out += [""]
     out += [] if d.findings else ["None.", ""]
-    out += ["## 7. Columns", ""] + _table(["Column", "Type", "Role", "Nulls", "Distinct", "Findings"], [[c.name, c.inferred_dtype, c.semantic_type, c.null_count, c.unique_count, c.anomalies_detected] for c in d.columns]) + [""]
+    out += ["## 7. Columns", ""] + _table(["Column", "Type", "Role", "Nulls", "Distinct", "Mean", "Median", "Deviation", "Range", "Findings"], [[c.name, c.inferred_dtype, c.semantic_type, f"{c.null_ratio:.1%}", f"{c.unique_count} ({c.unique_ratio:.1%})", _figure(c.mean), _figure(c.median), _figure(c.std_dev), "-" if c.min_value is None or c.max_value is None else f"{c.min_value} to {c.max_value}", c.anomalies_detected] for c in d.columns]) + [""]
     out += ["## 8. What to do", ""] + ([f"{k}. [{r.priority}] {r.action} {r.reason}" for k, r in enumerate(d.recommendations, 1)] or ["Nothing."]) + [""]
     out += ["## 9. How this was made", "", f"Engine {m['engine_version']}; fixed rules over exact counts; the same table gives the same result."]
     return "\n".join(out) + "\n"

@@ -11,17 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import detector_queries
 from .functions import exprs as X
 from .functions import names as N
 from .functions import vocab as V
-from .operators import consistency, distribution, leakage, uniqueness
+from .operators import completeness, consistency, distribution, leakage, uniqueness
 from .plans.context import Context
+from .plans.explore import filter_columns, filter_findings
 from .plans.frame import ROW_ID, canonical, col
 from .plans.investigate import investigate
 from .plans.profile import first_values, frequencies
+from .plans.quantiles import quantiles as exact_quantiles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(detector_queries.QUERIES)
+SQL: dict[str, str] = dict(detector_queries.SQL)
 
 
 def query(sql: str | None = None):
@@ -76,15 +79,21 @@ NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 @query(_per_column(NUMBERS, "SELECT '{c}' AS column_name, min({c}) AS min_value, max({c}) AS max_value, round(avg({c}), 5) AS mean, round(quantile_cont({c}, 0.25), 6) AS q25, round(median({c}), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75, round(stddev_samp({c}), 5) AS std_dev FROM t", "SELECT * FROM lineitem"))
 def numeric_profile(spark, sf):
-    df = table(spark, sf, "lineitem").select(*NUMBERS)
-    x = {c: F.when(X.finite(F.col(c)), F.col(c)) for c in NUMBERS}
-    return unstacked(df, {c: {"min_value": F.min(v), "max_value": F.max(v), "mean": F.round(F.avg(v), 5), "q25": r6(F.percentile(v, 0.25)), "median": r6(F.percentile(v, 0.5)), "q75": r6(F.percentile(v, 0.75)), "std_dev": F.round(F.stddev_samp(v), 5)} for c, v in x.items()})
+    ctx, _ = Context.of(canonical(table(spark, sf, "lineitem").select(*NUMBERS)))
+    q = ctx.quartiles
+    exact = unstacked(ctx.df, {c: {"min_value": F.min(c), "max_value": F.max(c), "mean": F.round(F.avg(c), 5), "std_dev": F.round(F.stddev_samp(c), 5)} for c in NUMBERS})
+    ctx.freq.unpersist()
+    some = spark.createDataFrame([(c, *(round(v, 6) for v in q[c])) for c in NUMBERS], "column_name string, q25 double, median double, q75 double")
+    return exact.join(F.broadcast(some), "column_name").select("column_name", "min_value", "max_value", "mean", "q25", "median", "q75", "std_dev")  # four rows
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, count(*) AS n FROM events GROUP BY event_type")
 def quantiles(spark, sf):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return table(spark, sf, "events").groupBy("event_type").agg(q.alias("q"), F.count(F.lit(1)).alias("n")).select("event_type", r6(F.col("q")[0]).alias("q25"), r6(F.col("q")[1]).alias("q50"), r6(F.col("q")[2]).alias("q75"), "n")
+    counts = table(spark, sf, "events").groupBy(F.col("event_type").alias("key"), F.col("value").alias("x")).agg(F.count(F.lit(1)).alias("n")).persist()
+    most = counts.groupBy("key").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("n")).collect()  # a row a kind of event
+    got = exact_quantiles(counts, (0.25, 0.5, 0.75), max(r.u for r in most))
+    counts.unpersist()
+    return spark.createDataFrame([(r.key, *(round(v, 6) for v in got[r.key]), r.n) for r in most], "event_type string, q25 double, q50 double, q75 double, n long")
 
 
 @query(f"WITH t AS ({LABELLED}) SELECT count(*) * 4 AS total_cells, sum((quality IS NULL)::BIGINT + (toxic IS NULL)::BIGINT)::BIGINT AS missing_cells, round(sum((quality IS NULL)::BIGINT + (toxic IS NULL)::BIGINT) / (count(*) * 4), 6) AS missing_cell_ratio FROM t")
@@ -172,13 +181,14 @@ CODED_SQL = "SELECT event_id, CASE WHEN event_id % 20 = 0 THEN -999.0 WHEN event
 def numeric_sentinels(spark, sf):
     e = F.col("event_id")
     t = table(spark, sf, "events").select(F.when(e % 20 == 0, -999.0).when(e % 50 == 1, 9999.0).otherwise(F.col("value")).alias("reading"))
-    rows = {}
-    for s in V.NUMERIC_SENTINELS:
-        x = F.when(X.finite(F.col("reading")) & (F.col("reading") != s), F.col("reading"))
-        rows[str(s)] = {"sentinel": F.lit(s).cast("long"), "hits": F.count(F.when(F.col("reading") == s, 1)), "q25": F.percentile(x, 0.25), "q75": F.percentile(x, 0.75), "share": F.avg((x >= 0).cast("double"))}
-    s, iqr = F.col("sentinel"), F.col("q75") - F.col("q25")
-    odd = ((s < 0) & (F.col("share") > 0.95)) | ((iqr > 0) & ((s < F.col("q25") - 3 * iqr) | (s > F.col("q75") + 3 * iqr)))
-    return unstacked(t, rows).where("hits > 0").select("sentinel", "hits", r6(F.col("q25")).alias("q25"), r6(F.col("q75")).alias("q75"), r6(F.col("share")).alias("share_not_negative"), odd.alias("suspicious"))
+    freq = frequencies(canonical(t)).persist()
+    hits = {int(r.x): r.n for r in freq.where(F.col("x").isin(*map(float, V.NUMERIC_SENTINELS))).select("x", "n").collect()}
+    codes = list(hits)
+    rest = completeness.others(freq, [(0, s) for s in codes])
+    q = exact_quantiles(rest, (0.25, 0.75), freq.count())
+    share = dict(rest.groupBy("key").agg(F.sum(F.when(F.col("x") >= 0, F.col("n")).otherwise(0)) / F.sum("n")).collect())
+    freq.unpersist()
+    return spark.createDataFrame([(s, hits[s], round(q[k][0], 6), round(q[k][1], 6), round(share[k], 6), completeness.suspicious(s, share[k], *q[k])) for k, s in enumerate(codes)], "sentinel long, hits long, q25 double, q75 double, share_not_negative double, suspicious boolean")
 
 
 @query("WITH t AS (SELECT event_id, CASE event_id % 11 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN chr(9) || ' ' || chr(10) WHEN 3 THEN NULL ELSE props END AS note FROM events) SELECT count(*) FILTER (note IS NULL) AS nulls, count(*) FILTER (regexp_replace(note, '^\\s+|\\s+$', '', 'g') = '') AS blanks, count(*) AS n_rows FROM t".replace("\\\\", "\\"))
@@ -294,17 +304,23 @@ def datetime_parsing(spark, sf):
 @query("WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id, value FROM events, q WHERE value > b + 3 * (b - a) OR value < a - 3 * (b - a)")
 def outliers(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value")
-    q = e.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
-    lo, hi = distribution.bounds(*q, 0.0)
+    lo, hi = _limits(canonical(e.select("value")))
     return e.where((F.col("value") > hi) | (F.col("value") < lo))
 
 
+def _limits(frame) -> tuple[float, float]:
+    ctx, _ = Context.of(frame)
+    c = frame.columns[0]
+    q = ctx.quartiles[c]
+    mad = distribution.median_deviations(ctx, {c: q[1]})[c]
+    ctx.freq.unpersist()
+    return distribution.bounds(*q, mad)
+
+
 @query("WITH t AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN value ELSE 5.0 END AS v FROM events), m AS (SELECT median(v) AS md FROM t), d AS (SELECT median(abs(v - md)) AS mad FROM t, m) SELECT count(*) AS extreme_rows, min(v) AS lowest, max(v) AS highest FROM t, m, d WHERE v > md + CASE WHEN mad > 0 THEN 5 * mad ELSE 1 END OR v < md - CASE WHEN mad > 0 THEN 5 * mad ELSE 1 END")
 def outliers_mad(spark, sf):
     t = table(spark, sf, "events").select(F.when(F.col("event_id") % 10 == 0, F.col("value")).otherwise(5.0).alias("v"))
-    q = t.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
-    mad = t.agg(F.percentile(F.abs(F.col("v") - q[1]), 0.5)).first()[0]
-    lo, hi = distribution.bounds(*q, mad)
+    lo, hi = _limits(canonical(t))
     return t.where((F.col("v") > hi) | (F.col("v") < lo)).agg(F.count(F.lit(1)).alias("extreme_rows"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
 
 
@@ -454,22 +470,6 @@ def anomalies_per_column(spark, sf):
     return literal_findings(spark).select(F.explode("affected_columns").alias("column_name")).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def filter_findings(df: DataFrame, severity: str | None = None, category: str | None = None, search: str | None = None) -> DataFrame:
-    """Findings of a severity and category whose id, title, description or columns contain a text, in any case."""
-    if severity:
-        df = df.where(F.col("severity") == severity)
-    if category:
-        df = df.where(F.col("category") == category)
-    if search:
-        s = search.lower()
-        texts = [F.lower(c).contains(s) for c in ("id", "title", "description") if c in df.columns]
-        hit = F.exists("affected_columns", lambda c: F.lower(c).contains(s))
-        for t in texts:
-            hit = hit | t
-        df = df.where(hit)
-    return df
-
-
 @query(f"SELECT id, severity, category FROM {_VALUES} WHERE category = 'validity' AND (id ILIKE '%PAY%' OR list_bool_or([c ILIKE '%PAY%' FOR c IN affected_columns]))".replace("list_bool_or([c ILIKE '%PAY%' FOR c IN affected_columns])", "len([c FOR c IN affected_columns IF c ILIKE '%PAY%']) > 0"))
 def findings_filter(spark, sf):
     return filter_findings(literal_findings(spark), category="validity", search="PAY").select("id", "severity", "category")
@@ -477,7 +477,7 @@ def findings_filter(spark, sf):
 
 @query("SELECT * FROM (VALUES ('event_type', 'categorical'), ('props', 'categorical')) AS t(name, semantic_type)")
 def column_filter(spark, sf):
-    return investigate(table(spark, sf, "events")).columns_df(spark).where((F.col("semantic_type") == "categorical") & F.lower("name").rlike("e|p")).select("name", "semantic_type")
+    return filter_columns(investigate(table(spark, sf, "events")).columns_df(spark), semantic_type="categorical", search="P").select("name", "semantic_type")
 
 
 @query(f"WITH c AS (SELECT id, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, id) AS place FROM {_VALUES}) SELECT id, place FROM c")

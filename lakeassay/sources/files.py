@@ -4,6 +4,11 @@ Delimited text is read as strings by Spark's reader and typed by aggregates over
 all of it, with the NA words of ``vocab.NA_CELLS``. Spreadsheets are read by the
 standard library's zip and XML modules; they and PDF tables are of driver size by
 nature. Limits of bytes and dimensions exist only if asked for.
+
+A folder of delimited files of one kind is one table: the first file, by name, gives
+the delimiter and the columns, and a file whose first line differs is refused. Text
+without a quoted line break is read with ``multi_line=False``, which lets Spark split
+a file among tasks; the default keeps a quoted line break within its cell.
 """
 
 from __future__ import annotations
@@ -42,12 +47,28 @@ def safe_name(name: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", "", base).strip() or "unnamed"
 
 
-def head(spark: SparkSession, path: str, n: int = HEAD) -> tuple[bytes, int]:
-    """The first bytes and the size of a file on any file system that Spark reads."""
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(p):
         raise FileNotFoundError(path)
+    return fs, p
+
+
+def data_files(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """The files that Spark's readers take from a path, by name, and their bytes: of a folder those directly in it,
+    without hidden ones and those that begin with ``_``."""
+    fs, p = _file_system(spark, path)
+    status = fs.getFileStatus(p)
+    if not status.isDirectory():
+        return [path], status.getLen()
+    some = [s for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith((".", "_"))]
+    return sorted(s.getPath().toString() for s in some), sum(s.getLen() for s in some)
+
+
+def head(spark: SparkSession, path: str, n: int = HEAD) -> tuple[bytes, int]:
+    """The first bytes and the size of a file on any file system that Spark reads."""
+    fs, p = _file_system(spark, path)
     size = fs.getFileStatus(p).getLen()
     stream = fs.open(p)
     try:
@@ -100,9 +121,9 @@ def text_delimiter(sample: str) -> str:
         return max(usable, key=seen.get)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str, encoding: str = "UTF-8") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, delimiter: str, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """All cells as text, NA words as null, names unique. Rows are numbered in the file's order by a hidden column."""
-    raw = spark.read.option("sep", delimiter).option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE").option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).option("nullValue", "").csv(path)
+    raw = spark.read.option("sep", delimiter).option("header", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE").option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).option("nullValue", "").csv(path)
     raw = raw.withColumn(LINE, F.monotonically_increasing_id())
     first = raw.orderBy(LINE).limit(1).collect()
     if not first:
@@ -117,6 +138,20 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str, encoding: str
     return body.select(F.col(LINE).alias(LINE), *[F.when(~F.col(c).isin(*V.NA_CELLS), F.col(c)).alias(n) for c, n in zip(cols, names, strict=True)])
 
 
+def read_folder(spark: SparkSession, files: list[str], delimiter: str, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """As ``read_delimited`` for files that each begin with the same line of names; a file's first row goes."""
+    first = next(csv.reader(io.StringIO(head(spark, files[0])[0].decode("utf-16" if encoding == "UTF-16" else "utf-8-sig", "replace")), delimiter=delimiter))
+    schema = ", ".join(f"_c{k} string" for k in range(len(first)))
+    read = spark.read.option("sep", delimiter).option("header", True).option("enforceSchema", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("encoding", encoding).option("nullValue", "")
+    for f in files[1:]:
+        other = next(csv.reader(io.StringIO(head(spark, f)[0].decode("utf-16" if encoding == "UTF-16" else "utf-8-sig", "replace")), delimiter=delimiter), [])
+        if other != first:
+            raise ValueError(f"{safe_name(f)} begins with other columns than {safe_name(files[0])}")
+    raw = read.schema(schema).csv(files)
+    cells = [F.col(f"_c{k}") for k in range(len(first))]
+    return raw.where(F.coalesce(*cells).isNotNull()).select(F.monotonically_increasing_id().alias(LINE), *[F.when(~c.isin(*V.NA_CELLS), c).alias(n) for c, n in zip(cells, N.unique_names(first), strict=True)])
+
+
 def read_spaced(spark: SparkSession, path: str) -> DataFrame:
     """A table aligned by two or more spaces or by tabs."""
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias(LINE), F.split(F.trim("value"), r"\s{2,}|\t+").alias("cells"))
@@ -237,6 +272,32 @@ def xlsx_rows(content: bytes) -> tuple[list[list], str, list[str]]:
     raise ValueError("no sheet of the workbook has cells")
 
 
+def xls_rows(content: bytes) -> tuple[list[list], str, list[str]]:
+    """As ``xlsx_rows`` for the older binary format, by the optional package xlrd."""
+    try:
+        import xlrd
+    except ImportError:
+        raise RuntimeError("reading .xls files needs the optional package xlrd") from None
+    book = xlrd.open_workbook(file_contents=content)
+
+    def value(c):
+        if c.ctype == xlrd.XL_CELL_DATE:
+            return sheet_cell(xlrd.xldate_as_datetime(c.value, book.datemode))
+        if c.ctype == xlrd.XL_CELL_BOOLEAN:
+            return bool(c.value)
+        if c.ctype == xlrd.XL_CELL_NUMBER:
+            return int(c.value) if float(c.value).is_integer() and abs(c.value) < 2**53 else c.value
+        return c.value if c.ctype == xlrd.XL_CELL_TEXT and c.value != "" else None
+
+    for name in book.sheet_names():
+        sheet = book.sheet_by_name(name)
+        cells = ([value(c) for c in sheet.row(k)] for k in range(sheet.nrows))
+        rows = [r for r in cells if any(v is not None for v in r)]
+        if rows:
+            return rows, name, book.sheet_names()
+    raise ValueError("no sheet of the workbook has cells")
+
+
 def rows_to_df(spark: SparkSession, header: list, rows: list[list]) -> DataFrame:
     """A small table of Python values: whole columns of one type keep it, mixed ones become text. Empty columns go."""
     width = max([len(header), *map(len, rows)])
@@ -262,34 +323,39 @@ def rows_to_df(spark: SparkSession, header: list, rows: list[list]) -> DataFrame
     return spark.createDataFrame([(i, *r) for i, r in enumerate(zip(*cols, strict=True))], schema)
 
 
+def holds_data(table: list[list], least_cells: int = 4) -> bool:
+    """Whether a table's cells are many, short and of few lines, as data are and prose is not. One row may hold two
+    cells only; long cells pass in tables of five rows and more."""
+    cells = [s for r in table for c in r if c is not None and (s := str(c).strip())]
+    if len(cells) < (2 if len(table) == 1 else least_cells):
+        return False
+    lines, length = sum(c.count("\n") for c in cells) / len(cells), sum(map(len, cells)) / len(cells)
+    return lines <= 2 and (length <= 80 or len(table) >= 5)
+
+
 def primary_table(tables: list[tuple[int, list[list]]]) -> tuple[list, list[list]]:
-    """Header and rows from a document's (page, table) lists: the first table that looks like data, with later
-    tables of as many columns appended, their repeated headers left out."""
-    usable = [(p, t) for p, t in tables if t and max(map(len, t)) >= 2]
-    main = None
-    for at, (_, t) in enumerate(usable):
-        cells = [str(c) for r in t for c in r if c not in (None, "")]
-        newlines, length = (sum(c.count("\n") for c in cells) / len(cells), sum(map(len, cells)) / len(cells)) if cells else (0, 0)
-        if len(t) >= 2 and len(cells) >= 4 and newlines <= 2 and not (length > 80 and len(t) < 5):
-            main = at
-            break
+    """Header and rows from a document's (page, table) lists: the first table of two rows that holds data, and what
+    later ones of as many columns add to it.
+
+    A later table has to hold data itself, and one of a single row has to stand on a later page. Repeated headers
+    and rows without a cell are left out; rows have the header's length.
+    """
+    usable = [(p, t) for p, t in tables if t and len(t[0]) >= 2]
+    main = next((k for k, (_, t) in enumerate(usable) if len(t) >= 2 and holds_data(t)), None)
     if main is None:
         raise ValueError("no table of data was found")
     page, first = usable[main]
     tidy = lambda r: [c.strip() if isinstance(c, str) else c for c in r]
-    header, rows = tidy(first[0]), [tidy(r) for r in first[1:]]
+    width, names = len(first[0]), ["" if c is None else str(c).strip() for c in first[0]]
+    rows = list(first[1:])
     for p, t in usable[main + 1 :]:
-        if len(t[0]) != len(header):
-            continue
-        part = [tidy(r) for r in t]
-        if part[0] == header:
-            part = part[1:]
-        elif len(t) == 1:
-            cells = [str(c) for c in part[0] if c not in (None, "")]
-            if p <= page or len(cells) < 2 or sum(map(len, cells)) / len(cells) > 80:
-                continue
-        rows += part
-    return header, rows
+        again = ["" if c is None else str(c).strip() for c in t[0]] == names
+        if len(t[0]) == width and holds_data(t) and (len(t) > 1 or p > page):
+            rows += t[1:] if again else t
+    rows = [[*tidy(r)[:width], *[None] * (width - len(r))] for r in rows if any(c is not None and str(c).strip() for c in r)]
+    if not rows:
+        raise ValueError("no table of data was found")
+    return tidy(first[0]), rows
 
 
 def promoted(name: str, values: list) -> list:
@@ -318,24 +384,47 @@ def pdf_frame(spark: SparkSession, tables: list[tuple[int, list[list]]]) -> Data
     return rows_to_df(spark, names, [list(r) for r in zip(*cols, strict=True)]) if rows and width else rows_to_df(spark, names, [])
 
 
-def load(spark: SparkSession, path: str, fmt: str | None = None, max_bytes: int | None = None, max_rows: int | None = None, max_columns: int | None = None) -> Loaded:
-    """A file as a table with its metadata. Formats that Spark reads (parquet, orc, json) pass to its readers."""
-    name = safe_name(path)
-    if fmt in ("parquet", "orc", "json") or fmt is None and PurePosixPath(name.lower()).suffix in (".parquet", ".orc", ".json"):
-        fmt = fmt or PurePosixPath(name.lower()).suffix[1:]
-        return Loaded(spark.read.format(fmt).load(path), {"file_name": name, "file_type": fmt})
-    first, total = head(spark, path)
+def load(spark: SparkSession, path: str, fmt: str | None = None, max_bytes: int | None = None, max_rows: int | None = None, max_columns: int | None = None, multi_line: bool = True) -> Loaded:
+    """A file, or a folder of files of one kind, as a table with its metadata.
+
+    Formats that Spark reads (parquet, orc, json) pass to its readers. Limits hold for
+    every format.
+    """
+    name = safe_name(path.rstrip("/"))
+    native = ("parquet", "orc", "json")
+    if fmt is None and PurePosixPath(name.lower()).suffix[1:] in native:
+        fmt = PurePosixPath(name.lower()).suffix[1:]
+    if fmt in native:
+        meta = {"file_name": name, "file_type": fmt}
+        if max_bytes is not None:
+            meta["file_size_bytes"] = _within(name, data_files(spark, path)[1], max_bytes)
+        return _bounded(Loaded(spark.read.format(fmt).load(path), meta), name, max_rows, max_columns)
+    files, total = data_files(spark, path)
     if not total:
         raise ValueError(f"{name} is empty")
-    if max_bytes is not None and total > max_bytes:
-        raise ValueError(f"{name} has {total} bytes; the limit is {max_bytes}")
-    fmt = fmt or detect(name, first)
+    _within(name, total, max_bytes)
+    folder = files != [path]
+    if folder:
+        kinds = {PurePosixPath(f.lower()).suffix[1:] for f in files}
+        if len(kinds) > 1:
+            raise ValueError(f"{name} holds files of several kinds: {', '.join(sorted(kinds))}")
+        if fmt is None and kinds <= set(native):
+            return load(spark, path, next(iter(kinds)), max_bytes, max_rows, max_columns)
+    first, _ = head(spark, files[0])
+    fmt = fmt or detect(safe_name(files[0]), first)
     meta = {"file_name": name, "file_size_bytes": total, "file_type": fmt}
+    if folder and fmt not in ("csv", "tsv", "txt"):
+        raise ValueError(f"{name} is a folder; files of type {fmt} are read one by one")
     if fmt in ("csv", "tsv", "txt"):
         encoding = "UTF-16" if first.startswith((b"\xff\xfe", b"\xfe\xff")) else "UTF-8"
         sample = first.decode("utf-16" if encoding == "UTF-16" else "utf-8-sig", "replace")
         delimiter = text_delimiter(sample) if fmt == "txt" else sniff(sample)
-        df = read_spaced(spark, path) if delimiter == "\\s" else read_delimited(spark, path, delimiter, encoding)
+        if folder and delimiter == "\\s":
+            raise ValueError(f"{name} is a folder; tables aligned by white space are read one by one")
+        if folder:
+            df = read_folder(spark, files, delimiter, encoding, multi_line)
+        else:
+            df = read_spaced(spark, path) if delimiter == "\\s" else read_delimited(spark, path, delimiter, encoding, multi_line)
         df = typed(_numbered(df))
     elif fmt == "xlsx":
         rows, sheet, names = xlsx_rows(head(spark, path, total)[0])
@@ -346,14 +435,27 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, max_bytes: int
         df = pdf_frame(spark, tables)
         meta |= {"table_index": 1, "page_count": pages}
     elif fmt == "xls":
-        raise RuntimeError("reading .xls files needs the optional package xlrd")
+        rows, sheet, names = xls_rows(head(spark, path, total)[0])
+        df = rows_to_df(spark, rows[0], rows[1:])
+        meta |= {"sheet_name": sheet, "available_sheets": names}
     else:
         raise ValueError(f"unknown format {fmt}")
-    if max_columns is not None and len(df.columns) - 1 > max_columns:
-        raise ValueError(f"{name} has {len(df.columns) - 1} columns; the limit is {max_columns}")
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
+    return _bounded(Loaded(df, meta, LINE), name, max_rows, max_columns)
+
+
+def _within(name: str, total: int, max_bytes: int | None) -> int:
+    if max_bytes is not None and total > max_bytes:
+        raise ValueError(f"{name} has {total} bytes; the limit is {max_bytes}")
+    return total
+
+
+def _bounded(loaded: Loaded, name: str, max_rows: int | None, max_columns: int | None) -> Loaded:
+    columns = [c for c in loaded.df.columns if c != loaded.row_id]
+    if max_columns is not None and len(columns) > max_columns:
+        raise ValueError(f"{name} has {len(columns)} columns; the limit is {max_columns}")
+    if max_rows is not None and loaded.df.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"{name} has more than {max_rows} rows")
-    return Loaded(df, meta, LINE)
+    return loaded
 
 
 def _numbered(df: DataFrame) -> DataFrame:
