@@ -14,7 +14,8 @@
    to the least that any item needs are not multiplied out.
    The words that a candidate shares with the item must carry enough of its weight.
 4. A candidate is confirmed by the longest common subsequence of words between the
-   item and the text around the window, or by a shorter one together with the
+   item and the text around the window (one word more than ``min_lcs`` of the item, so
+   that short items need a larger share), or by a shorter one together with the
    item's answer. Items of ``min_exact`` to ``min_words`` - 1 words have no window
    worth the name; they are found where all their words stand in a row.
 
@@ -188,7 +189,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, lookup, rank: int, seed
     return q
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, min_cosine: float = 0.9, min_norm: float = 0.15, min_weight: float = 0.45, min_lcs: float = 0.6, min_lcs_with_answer: float = 0.4, min_words: int = 8, min_exact: int = 4, rank: int = RANK, block_bytes: int = BLOCK_BYTES, block_items: int = BLOCK_ITEMS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, min_cosine: float = 0.9, min_norm: float = 0.15, min_weight: float = 0.4, min_lcs: float = 0.45, min_lcs_with_answer: float = 0.4, min_words: int = 8, min_exact: int = 4, rank: int = RANK, block_bytes: int = BLOCK_BYTES, block_items: int = BLOCK_ITEMS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, item_words, answer_found), a row for each benchmark item found in a document."""
     spark = docs.sparkSession
     store.small_batches(spark)
@@ -371,7 +372,7 @@ def _search(s: Space, t: np.ndarray, first: np.ndarray, min_cosine: float, min_w
             continue
         common = _best_lcs(s.item_terms[i], near, s.none)
         answer = s.answers[i] in _aligned(near, s.answers[i])
-        if common >= min_lcs * size or (answer and common >= min_lcs_with_answer * size):
+        if common >= min_lcs * size + 1 or (answer and common >= min_lcs_with_answer * size):
             old = hits.get((d, i))
             if old is None or (common, best[g]) > (old[1], old[0]):
                 hits[(d, i)] = (float(best[g]), common, size, answer)

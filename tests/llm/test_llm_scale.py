@@ -185,3 +185,19 @@ def test_scores_of_reruns_agree(spark, tmp_path):
     docs_df(spark, [(i, prose(rng, 50)) for i in range(400)]).repartition(6).write.parquet(str(tmp_path / "d"))
     runs = [{r.doc_id: r.pll for r in pseudo_likelihood.score(spark.read.parquet(str(tmp_path / "d"))).collect()} for _ in range(2)]
     assert runs[0] == runs[1]
+
+
+def test_paraphrases_are_found_end_to_end(spark):
+    rng = random.Random(5)
+    vocabulary = [word(rng) + word(rng) for _ in range(4000)]
+    say = lambda n: " ".join(vocabulary[min(int(rng.paretovariate(0.5)), 4000) - 1] for _ in range(n))
+    items = [(k, say(rng.randint(15, 50))) for k in range(60)]
+    rows, want = [(i, say(rng.randint(20, 200))) for i in range(300)], {}
+    for p in (0.0, 0.2, 0.35, 0.4):
+        for k, t in items:
+            want[10_000 + len(rows)] = (k, p)
+            rows.append((10_000 + len(rows), f"{say(30)} {' '.join(say(1) if rng.random() < p else w for w in t.split())} {say(30)}"))
+    got = [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_df(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert all(d in want and want[d][0] == k for d, k in got)
+    found = collections.Counter(want[d][1] for d, _ in got)
+    assert found[0.0] == 60 and found[0.2] >= 59 and found[0.35] >= 54 and found[0.4] >= 54
