@@ -3,8 +3,10 @@
 Candidates are words of a text that look like credentials: a known form, a value
 assigned to a telling name, or a long run that mixes letters and digits. A word may
 hold several: known forms are cut out first, then assigned values, then runs, so
-that none overlap, and each is a row. A random forest then judges each by its length, its changes of character class, how much of
-it dictionary words cover, the document's path and the neighbouring words. The
+that none overlap, and each is a row. A block of a private key is one candidate over
+its lines, and none of its words is another. A random forest then judges each by its
+length, its changes of character class, how much of it dictionary words cover, the
+document's path and the neighbouring words. The
 forest is grown on the driver from labelled findings (a bounded table) and compiled
 into column expressions; features of findings and of candidates are the same
 expressions.
@@ -23,9 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_FINDINGS = 20_000
+WHITE = r"[\x20\x09-\x0D]+"
 
 # Forms of credentials, a name and a pattern each.
 KINDS = (
+    ("private_key", r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----.*?-----END [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----"),
     ("cloud_key_id", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
     ("forge_token", r"gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_\-]{20}"),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}"),
@@ -57,8 +61,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     # Most texts have nothing that could be part of a candidate; they stop here.
     some = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"[0-9]") | F.col("t").rlike(TELLING) | F.col("t").rlike(STARTS))
-    words = some.select("doc_id", "path", F.split("t", r"[\x20\x09-\x0D]+").alias("ws"), F.lit(1).alias("one"))
-    known = "|".join(p for _, p in KINDS)
+    words = some.select("doc_id", "path", F.split("t", WHITE).alias("ws"), key_blocks(F.col("t")).alias("blocks"))
+    known = "|".join(p for _, p in KINDS[1:])
     long_run = lambda w: w.rlike(RUN) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
     assigned = lambda w, p, q: F.when(w.rlike("[:=]"), w.rlike(ASSIGNED)).otherwise(F.lit(False)) | (p.rlike(r"[:=]>?[\"']?$") & F.concat_ws(" ", q, p).rlike(TELLING))
 
@@ -70,10 +74,28 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.filter(marked, lambda x: x.isNotNull())
 
     # The array is bound once; written straight it would be split again for every word.
-    hits = words.select("doc_id", "path", F.explode(F.get(F.transform(F.array("ws"), found), F.lit(0))).alias("c")).select("doc_id", "path", "c.at", "c.word", "c.before", "c.after")
+    own = F.transform("blocks", lambda b: F.struct(b["at"].alias("at"), b["word"].alias("word"), F.concat_ws(" ", near(F.col("ws"), b["at"], -3), near(F.col("ws"), b["at"], -2), near(F.col("ws"), b["at"], -1)).alias("before"), near(F.col("ws"), b["end"], 1).alias("after")))
+    single = F.get(F.transform(F.array("ws"), found), F.lit(0))
+    apart = F.filter(single, lambda x: ~F.exists("blocks", lambda b: (x["at"] >= b["at"]) & (x["at"] <= b["end"])))
+    all_ = F.when(F.size("blocks") > 0, F.concat(apart, own)).otherwise(single)
+    hits = words.select("doc_id", "path", F.explode(all_).alias("c")).select("doc_id", "path", "c.at", "c.word", "c.before", "c.after")
     return with_value(hits)
 
 
+def key_blocks(t: Column) -> Column:
+    """Blocks of private keys in a text: ``word`` is the block, ``at`` and ``end`` the numbers of its first and last word."""
+    pattern = KINDS[0][1]
+    blocks, parts = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern)
+    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda x, y: x + F.length(y))
+    word_of = lambda length: F.size(F.split(F.substring(t, F.lit(1), length), WHITE)) - 1
+
+    def place(b: Column, k: Column) -> Column:
+        begin = total(parts, k + 1) + total(blocks, k)
+        return F.struct(word_of(begin).alias("at"), word_of(begin + F.length(b)).alias("end"), b.alias("word"))
+
+    return F.when(F.contains(t, F.lit("PRIVATE KEY")), F.transform(blocks, place)).otherwise(F.array().cast("array<struct<at:int,end:int,word:string>>"))
+
+
 def with_value(hits: DataFrame) -> DataFrame:
     """Adds kind and value to rows of (word, before), a row for each value in the word."""
     all_of = lambda pattern, group=0: F.regexp_extract_all("_cut", F.lit(pattern), F.lit(group))
@@ -149,6 +171,14 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         (F.concat_ws(" ", name, F.lit("=")), pick("your_api_key_placeholder1", "example-token-value-123", "changeme_default_password1", "test_secret_value_0001"), 0),
         (pick("call", "the", "use"), F.concat(other("createSessionManager", "updateRecordHandler", "defaultServiceConfig"), F.substring(h, 1, 1), F.lit("2")), 0),
         (pick("at", "in", "from"), F.concat(F.lit("src/main/"), other("module", "service", "handler"), F.lit("/file_list_"), F.pmod(i, F.lit(97)).cast("string")), 0),
+        (pick("key:", "below", "|"), F.concat(F.lit("-----BEGIN "), other("RSA ", "EC ", "OPENSSH ", ""), F.lit("PRIVATE KEY-----\n"), b64, F.lit("\n"), b64, F.lit("\n-----END PRIVATE KEY-----")), 1),
+        (pick("url", "connect", "at"), F.concat(other("postgres", "amqp", "https"), F.lit("://admin:"), F.substring(b64, 3, 14), F.lit("@db.internal/main")), 1),
+        (F.concat_ws(" ", pick("client", "deploy", "bot"), name, F.lit("is")), F.substring(b64, 1, 32), 1),
+        (pick("stripe", "pay", "key"), F.concat(other("sk_live_", "rk_live_", "sk_test_"), F.substring(F.concat(h, h), 5, 24)), 1),
+        (pick("src", "href", "image", "from"), F.concat(F.lit("https://cdn.site.org/"), other("assets", "img", "media"), F.lit("/"), F.substring(h, 1, 16), F.lit(".png")), 0),
+        (F.concat_ws(" ", pick("integrity", "resolved", "digest"), F.lit(":")), F.concat(other("sha512-", "sha256-", "sha1-"), b64), 0),
+        (pick("invoice", "order", "ticket", "ref"), F.concat(other("INV", "ORD", "TCK"), F.lit("-2024-"), F.lpad(F.pmod(i, F.lit(99991)).cast("string"), 8, "0")), 0),
+        (pick("etag", "build", "trace", "session"), F.concat(other("b", "v", "t"), F.substring(h, 1, 20)), 0),
     ]
     before, word, label = F.lit(None), F.lit(None), F.lit(None)
     for k, (b, w, y) in enumerate(cases):
