@@ -47,7 +47,7 @@ def find(ctx: Context) -> list:
     names = [c for c in ctx.frame.numeric() if ctx.by_name[c].non_null_count >= 8 and ctx.by_name[c].finite_count >= 8 and ctx.by_name[c].unique_count > 2]
     if not names:
         return []
-    x = {c: F.when(X.finite(col(c)), number(ctx.frame, c).cast("double")) for c in names}
+    x = lambda c: F.when(X.finite(col(c)), number(ctx.frame, c).cast("double"))
     quart = {c: ctx.quartiles[c] for c in names}
     flat = [c for c in names if quart[c][2] <= quart[c][0]]
     mads = median_deviations(ctx, {c: quart[c][1] for c in flat})
@@ -55,12 +55,12 @@ def find(ctx: Context) -> list:
     shape = {"out": lambda v, lo, hi: F.count(F.when((v > hi) | (v < lo), 1)), "skew": lambda v, *_: F.skewness(v.cast("double")), "kurt": lambda v, *_: F.kurtosis(v.cast("double"))}
     got = numeric_stats(ctx.frame, shape, names, {"lo": [limit[c][0] for c in names], "hi": [limit[c][1] for c in names]})
     money = [c for c in names if _benford_applies(ctx.by_name[c])]
-    digits = in_batches(ctx.df, {(c, d): F.count(F.when(X.leading_digit(x[c]) == d, 1)) for c in money for d in BENFORD})
+    digits = in_batches(ctx.df, {(c, d): F.count(F.when(X.leading_digit(x(c)) == d, 1)) for c in money for d in BENFORD})
     out = []
     for c in names:
         p, n, (lo, hi), (q25, median, q75) = ctx.by_name[c], got["out", c], limit[c], quart[c]
         if n and (n / p.finite_count <= 0.10 or n <= 2):
-            at, values = ctx.examples((x[c] > hi) | (x[c] < lo), x[c])
+            at, values = ctx.examples((x(c) > hi) | (x(c) < lo), x(c))
             values = [round(v, 4) for v in values[:5]]
             iqr = q75 - q25
             far = (float(p.max_value) - q75) / iqr if iqr > 0 else 0.0

@@ -8,6 +8,7 @@ from ..functions import exprs as X
 from ..functions import names as N
 from ..functions import vocab as V
 from ..plans.context import Context, Evidence, col, finding
+from ..plans.frame import one_of
 
 NAME = "validity"
 
@@ -58,7 +59,7 @@ def _spellings(ctx: Context) -> dict[str, list]:
         return {}
     # Columns of 50 distinct values at most.
     values: dict[str, list] = {}
-    for r in ctx.freq.where(F.col("k").isin(*keys)).orderBy("k", "first_row").collect():
+    for r in ctx.freq.where(one_of("k", keys)).orderBy("k", "first_row").collect():
         values.setdefault(keys[r.k], []).append((r.value, r.n))
     out = {}
     for c, found in values.items():

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .frame import ROW_ID, Frame, col
+from .frame import ROW_ID, Frame, col, one_of
 from .model import ColumnProfile, Evidence, Finding, Recommendation
 from .profile import profile
 
@@ -49,7 +49,7 @@ class Context:
         if not keys:
             return {}
         v, n = F.col("value"), F.col("n")
-        some = self.freq.where(F.col("k").isin(*keys)).select("k", "n", "first_row", "value", X.is_blank(v).alias("blank"), X.is_text_sentinel(v).alias("sentinel"), X.to_number(v).isNotNull().alias("number"), X.date_class(v).alias("form"))
+        some = self.freq.where(one_of("k", keys)).select("k", "n", "first_row", "value", X.is_blank(v).alias("blank"), X.is_text_sentinel(v).alias("sentinel"), X.to_number(v).isNotNull().alias("number"), X.date_class(v).alias("form"))
         from ..functions.vocab import DATE_PATTERNS
 
         count = lambda c: F.sum(F.when(c, n).otherwise(0))

@@ -12,6 +12,7 @@ from ..functions.names import unique_names
 from .scratch import written
 
 ROW_ID = "_row_id"
+CASTS = {"int64": "BIGINT", "datetime64[ns]": "TIMESTAMP", "str": "STRING"}
 
 
 @dataclass
@@ -31,7 +32,17 @@ class Frame:
 
 
 def col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def one_of(c: str, values) -> Column:
+    """Whether an integer column is one of some. One text, as a call for each of hundreds of columns would take seconds."""
+    some = ", ".join(str(int(v)) for v in values)
+    return F.expr(f"{c} IN ({some})" if some else "false")
 
 
 def number(frame: Frame, name: str) -> Column:
@@ -87,22 +98,17 @@ def canonical(df: DataFrame, row_id: str | None = None) -> Frame:
     kept = [i for i, c in enumerate(df.columns) if c != row_id]
     names = unique_names([df.columns[i] for i in kept])
     df = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    out, kinds = [], {}
+    out, kinds, types = [], {}, [f.dataType for f in df.schema.fields]
     for i, name in zip(kept, names, strict=True):
-        t, c = df.schema[i].dataType, F.col(f"_c{i}")
+        t, c = types[i], f"_c{i}"
         kind = kind_of(t)
-        if kind == "float64":
-            d = c.cast("double")
-            c = F.when(~F.isnan(d), d + 0.0)  # NaN as null, -0.0 as 0.0
-        elif kind == "int64":
-            c = c.cast("long")
-        elif kind == "datetime64[ns]":
-            c = c.cast("timestamp")
-        elif kind == "str":
-            c = c.cast("string")
-        else:
-            c = c if kind == "bool" else F.hex(c) if isinstance(t, T.BinaryType) else F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
-        out.append(c.alias(name))
+        if kind == "float64":  # NaN as null, -0.0 as 0.0
+            c = f"CASE WHEN NOT isnan(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) + 0.0D END"
+        elif kind in CASTS:
+            c = f"CAST({c} AS {CASTS[kind]})"
+        elif kind != "bool":
+            c = f"hex({c})" if isinstance(t, T.BinaryType) else f"CASE WHEN {c} IS NOT NULL THEN to_json(named_struct('v', {c})) END"
+        out.append(f"{c} AS {quoted(name)}")
         kinds[name] = kind
     if row_id is not None:
         rid = F.col(f"_c{[x for x in range(len(df.columns)) if x not in kept][0]}").cast("long")
@@ -122,4 +128,5 @@ def canonical(df: DataFrame, row_id: str | None = None) -> Frame:
             rid = F.get(F.lit(start), part) + here.bitwiseAND(F.lit((1 << 33) - 1))
         elif max(counts, default=0):
             rid = here.bitwiseAND(F.lit((1 << 33) - 1))
-    return Frame(df.select(rid.alias(ROW_ID), *out), kinds)
+    df = df.withColumn(ROW_ID, rid)
+    return Frame(df.selectExpr(ROW_ID, *out), kinds)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import names as N
 from ..functions import vocab as V
-from .frame import ROW_ID, Frame, col, number
+from .frame import ROW_ID, Frame, col, number, one_of, quoted
 from .model import ColumnProfile, Summary, clean_cell
 from .quantiles import quantiles
 
@@ -42,7 +42,7 @@ def numeric_stats(frame: Frame, stats: dict, names: list[str] | None = None, lis
     names = frame.numeric() if names is None else names
     lists = lists or {}
     if len(names) <= WIDE:
-        aggs = {}
+        aggs = {("rows", ""): F.count(F.lit(1))}
         for j, c in enumerate(names):
             x = number(frame, c)
             for s, f in stats.items():
@@ -54,10 +54,10 @@ def numeric_stats(frame: Frame, stats: dict, names: list[str] | None = None, lis
         if not part:
             continue
         kind = "long" if whole else "double"
-        pairs = F.array(*[F.struct(F.lit(j).alias("j"), number(frame, c).cast(kind).alias("x")) for j, c in part])
+        pairs = F.expr("array(" + ", ".join(f"named_struct('j', {j}, 'x', CAST({quoted(c)} AS {kind}))" for j, c in part) + ")")
         rows = frame.df.select(F.explode(pairs).alias("p")).select("p.*")
         x = F.when(X.finite(F.col("x")), F.col("x"))
-        more = [F.get(F.lit([float(y) for y in v]), F.col("j")) for v in lists.values()]
+        more = [F.expr("get(array(" + ", ".join(f"double('{float(y)!r}')" for y in v) + "), j)") for v in lists.values()]
         for r in rows.groupBy("j").agg(*[f(x, *more).alias(s) for s, f in stats.items()]).collect():
             out.update({(s, names[r.j]): r[s] for s in stats})
     return {(s, c): out.get((s, c)) for c in names for s in stats}
@@ -69,7 +69,7 @@ def as_text(frame: Frame, name: str) -> Column:
 
 def unpivoted(frame: Frame, names: list[str]) -> DataFrame:
     """(_row_id, k, value): a row for each value that is not null, k being the column's place in ``names``."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), as_text(frame, c).alias("value")) for k, c in enumerate(names)])
+    pairs = F.expr("array(" + ", ".join(f"named_struct('k', {k}, 'value', CAST({quoted(c)} AS STRING))" for k, c in enumerate(names)) + ")")
     return frame.df.select(ROW_ID, F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).select(ROW_ID, "p.k", "p.value")
 
 
@@ -83,17 +83,16 @@ def frequencies(frame: Frame, names: list[str] | None = None) -> DataFrame:
     """
     names = frame.columns if names is None else names
     kinds = [frame.kinds[c] for c in names]
-    empty = {"i": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
 
-    def key(k: int, name: str) -> Column:
-        kind, c = kinds[k], col(name)
-        slot = {"int64": ("i", c), "bool": ("i", c.cast("long")), "datetime64[ns]": ("i", F.unix_micros(c)), "float64": ("d", c)}.get(kind, ("s", c.cast("string")))
-        return F.struct(F.lit(k).alias("k"), *[(slot[1] if x == slot[0] else v).alias(x) for x, v in empty.items()])
+    def key(k: int, name: str) -> str:
+        slot = {"int64": ("i", "{}"), "bool": ("i", "CAST({} AS BIGINT)"), "datetime64[ns]": ("i", "unix_micros({})"), "float64": ("d", "{}")}.get(kinds[k], ("s", "CAST({} AS STRING)"))
+        own = {"i": "CAST(NULL AS BIGINT)", "d": "CAST(NULL AS DOUBLE)", "s": "CAST(NULL AS STRING)"} | {slot[0]: slot[1].format(quoted(name))}
+        return f"named_struct('k', {k}, 'i', {own['i']}, 'd', {own['d']}, 's', {own['s']})"
 
-    some = F.filter(F.array(*[key(k, c) for k, c in enumerate(names)]), lambda p: p["i"].isNotNull() | p["d"].isNotNull() | p["s"].isNotNull())
+    some = F.expr("filter(array(" + ", ".join(key(k, c) for k, c in enumerate(names)) + "), p -> p.i IS NOT NULL OR p.d IS NOT NULL OR p.s IS NOT NULL)")
     rows = frame.df.select(ROW_ID, F.explode(some).alias("p")).select(ROW_ID, "p.*")
     counted = rows.groupBy("k", "i", "d", "s").agg(F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
-    of = lambda kind: F.col("k").isin(*[k for k, x in enumerate(kinds) if x == kind]) if kind in kinds else F.lit(False)
+    of = lambda kind: one_of("k", [k for k, x in enumerate(kinds) if x == kind])
     value = F.when(of("bool"), F.when(F.col("i") == 1, "true").otherwise("false")).when(of("datetime64[ns]"), F.timestamp_micros("i").cast("string"))
     x = F.when(of("float64"), F.col("d")).when(of("int64") | of("bool"), F.col("i").cast("double"))
     return counted.select("k", value.otherwise(F.coalesce(F.col("s"), F.col("i").cast("string"), F.col("d").cast("string"))).alias("value"), x.alias("x"), "n", "first_row")
@@ -155,11 +154,11 @@ def profile(frame: Frame, freq: DataFrame | None = None) -> tuple[Summary, list[
     into a frame without nullable integers.
     """
     freq = frequencies(frame) if freq is None else freq
-    rows = frame.df.count()
     got = numeric_stats(frame, {"finite": F.count, "min": F.min, "max": F.max, "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_samp(c.cast("double"))})
+    rows = got["rows", ""] if ("rows", "") in got else frame.df.count()
     totals = {r.k: r for r in freq.groupBy("k").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"), F.sum(F.col("n") * F.octet_length("value")).alias("bytes")).collect()}
     numbers = {k: c for k, c in enumerate(frame.columns) if c in set(frame.numeric()) and got["finite", c]}
-    quart = quantiles(freq.where(F.col("k").isin(*numbers) & X.finite(F.col("x"))).select(F.col("k").alias("key"), "x", "n"), QUARTILES, max(totals[k].u for k in numbers)) if numbers else {}
+    quart = quantiles(freq.where(one_of("k", numbers) & X.finite(F.col("x"))).select(F.col("k").alias("key"), "x", "n"), QUARTILES, max(totals[k].u for k in numbers)) if numbers else {}
     quart = {c: quart.get(k) for k, c in numbers.items()}
     values: dict[int, list[str]] = {}
     for r in sorted(first_values(freq, FIRST_VALUES).collect(), key=lambda r: (r.k, r.place)):
