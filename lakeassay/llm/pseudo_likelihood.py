@@ -6,7 +6,7 @@ scores the document.
 
 Words fall into classes: the ``top`` most frequent ones each have their own, the rest
 share buckets by hash, within which a word has its share of the bucket's count.
-Classes in order of frequency form groups of 64, and the network predicts the group
+Classes in order of frequency form groups of 48, and the network predicts the group
 and then the class within it, both from the context (a softmax of two levels). Counts
 come from every word of the corpus and shuffle as (word, count). The most frequent
 ``table`` words, and each bucket's totals, go to executors; all other words of the
@@ -35,12 +35,12 @@ from . import store, text
 from .decontaminate import Lookup
 
 REACH = 3
-TOP = 4096
-BUCKETS = 512
-GROUP = 64
-HIDDEN = 32
+TOP = 2048
+BUCKETS = 256
+GROUP = 48
+HIDDEN = 16
 TABLE = 1 << 16
-BATCH = 4096
+BATCH = 8192
 PIECES = 256
 
 
@@ -95,12 +95,17 @@ class Vocabulary:
     def classes(self) -> int:
         return self.size + self.buckets
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, log share within it, and whether log(count + 1) is still to be added as the word is not in the table."""
+    def class_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, and which words have a bucket, and which."""
         c = self.rank[self.top(h)]
         rest = np.flatnonzero(c == self.size)
         b = self.bucket(h[rest], self.buckets)
         c[rest] = self.size + b
+        return c, rest, b
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, log share within it, and whether log(count + 1) is still to be added as the word is not in the table."""
+        c, rest, b = self.class_of(h)
         share, open_ = np.zeros(len(h), np.float32), np.zeros(len(h), bool)
         k = self.table(h[rest]) if self.table else np.zeros(len(rest), np.int32)
         known = k < len(self.table.known) if self.table else np.zeros(len(rest), bool)
@@ -125,47 +130,56 @@ def start_weights(v: Vocabulary, hidden: int, seed: int) -> list[np.ndarray]:
     ]
 
 
-def contexts(c: np.ndarray, first: np.ndarray, pad: int) -> np.ndarray:
-    """Classes around each word, (words, 2 * REACH); ``pad`` beyond a text's ends."""
+def contexts(c: np.ndarray, first: np.ndarray, pad: int, begin: int = 0, step: int = 1) -> np.ndarray:
+    """Classes around each word, or each ``step``-th from ``begin`` on, (2 * REACH, words); ``pad`` beyond a text's ends."""
     n = np.diff(first)
-    row = np.repeat(np.arange(len(n)), n)
-    i = np.arange(len(c))
-    out = np.full((2 * REACH, len(c)), pad, np.int32)
-    for k, off in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        j = i + off
-        ok = (j >= first[row]) & (j < first[row + 1])
-        out[k, ok] = c[j[ok]]
-    return out
+    # Texts with pads between them: what is around a word is where it is, shifted.
+    at = np.arange(len(c)) + REACH * (1 + np.repeat(np.arange(len(n)), n))
+    padded = np.full(len(c) + REACH * (len(n) + 1), pad, np.intp)
+    padded[at] = c
+    at = at[begin::step]
+    return np.stack([padded[at + off] for off in (*range(-REACH, 0), *range(1, REACH + 1))])
 
 
 def forward(weights: list[np.ndarray], x: np.ndarray, y: np.ndarray):
     """Hidden values and group scores of windows; the order of windows by group of ``y``, the groups there and where
     each begins, and scores of the classes of its own group for each window in that order."""
     e, out, bias, inner, inner_bias = weights
-    h = e[0][x[0]]
+    h = e[0].take(x[0], axis=0)
     for k in range(1, len(x)):
-        h += e[k][x[k]]
+        h += e[k].take(x[k], axis=0)
     np.tanh(h, out=h)
     z = h @ out
     z += bias
-    order = np.argsort(y // GROUP, kind="stable")
-    g = (y // GROUP)[order]
-    begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    z2 = inner_bias[g]
-    hs = h[order]
-    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(g)], strict=True):
-        z2[lo:hi] += hs[lo:hi] @ inner[g[lo]]
+    order, g, begin = runs(y // GROUP)
+    hs = h.take(order, axis=0)
+    z2 = np.empty((len(y), GROUP), np.float32)
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(y)], strict=True):
+        np.matmul(hs[lo:hi], inner[g[lo]], out=z2[lo:hi])
+        z2[lo:hi] += inner_bias[g[lo]]
     return h, z, order, g[begin], begin, hs, z2
 
 
+def runs(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts small numbers, the sorted numbers, and where each begins."""
+    c = c.astype(np.uint16)  # sorted by counting
+    order = np.argsort(c, kind="stable")
+    g = c[order]
+    return order, g, np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+
+
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, as scores stay far from where it overflows but for what the bound cuts."""
+    np.minimum(z, 80, out=z)
+    return np.exp(z, out=z)
+
+
 def log_probabilities(weights: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log P(class y | context), in blocks."""
 
     def own(z, at):
-        z -= z.max(axis=1, keepdims=True)
-        chosen = z[np.arange(len(z)), at].copy()
-        np.exp(z, out=z)
-        return chosen - np.log(z.sum(axis=1))
+        chosen = np.minimum(z[np.arange(len(z)), at], 80)
+        return chosen - np.log(exponentials(z).sum(axis=1))
 
     parts = []
     for lo in range(0, len(y), BATCH):
@@ -190,11 +204,9 @@ class Learner:
         n = len(y)
         h, z, order, groups, begin, hs, z2 = forward(self.w, x, y)
         for v, at in ((z, y // GROUP), (z2, y[order] % GROUP)):
-            v -= v.max(axis=1, keepdims=True)
-            np.exp(v, out=v)
-            v /= v.sum(axis=1, keepdims=True)
-            v[np.arange(n), at] -= 1
-            v /= n
+            exponentials(v)
+            v *= (1 / (n * v.sum(axis=1)))[:, None]
+            v[np.arange(n), at] -= 1 / n
         gh = z @ self.w[1].T
         of_inner, back = np.empty((len(groups), *self.w[3].shape[1:]), np.float32), np.empty_like(gh)
         for k, (lo, hi) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), n], strict=True)):
@@ -207,10 +219,8 @@ class Learner:
         self._move(3, groups, of_inner)
         self._move(4, groups, np.add.reduceat(z2, begin, axis=0))
         for k in range(len(x)):
-            order = np.argsort(x[k], kind="stable")
-            c = x[k][order]
-            at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            self._move(0, (k, c[at]), np.add.reduceat(gh[order], at, axis=0))
+            order, c, at = runs(x[k])
+            self._move(0, (k, c[at]), np.add.reduceat(gh.take(order, axis=0), at, axis=0))
         self.seen += n
 
     def _move(self, i: int, at, g: np.ndarray) -> None:
@@ -242,8 +252,8 @@ def train(docs: DataFrame, vocabulary, weights: list[np.ndarray], rounds: int, s
             held = 0
             for b in batches:
                 for w in text.words(b.column(0)):
-                    c, _, _ = v(w.hash)
-                    x = contexts(c, w.first, v.classes)[:, turn % stride :: stride]
+                    c = v.class_of(w.hash)[0]
+                    x = contexts(c, w.first, v.classes, turn % stride, stride)
                     kept.append((x, c[turn % stride :: stride]))
                     held += x.shape[1]
                     if held >= 8 * BATCH:
