@@ -131,9 +131,19 @@ def semantic_types(spark, sf):
     return spark.createDataFrame([(p.name, p.semantic_type, p.inferred_dtype) for p in ctx.profiles], "column_name string, semantic_type string, inferred_dtype string")
 
 
-@query()
+_KINDS = {"c_custkey": "int64", "c_name": "str", "c_nationkey": "int64", "c_acctbal": "float64", "c_mktsegment": "str"}
+_NUMERIC = "min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value, round(avg({c}), 4) AS mean, round(median({c}), 4)::DOUBLE AS median, round(stddev_samp({c}), 4) AS std_dev"
+_NO_NUMBERS = "NULL AS min_value, NULL AS max_value, NULL AS mean, NULL AS median, NULL AS std_dev"
+
+
+@query(
+    "WITH p AS (" + " UNION ALL ".join(f"SELECT {i} AS ordinal, '{c}' AS name, '{k}' AS inferred_dtype, count(*) AS total, count({c}) AS non_null_count, count(DISTINCT {c}) AS unique_count, {_NO_NUMBERS if k == 'str' else _NUMERIC.format(c=c)} FROM customer" for i, (c, k) in enumerate(_KINDS.items())) + ") "
+    "SELECT ordinal, name, inferred_dtype, CASE WHEN inferred_dtype <> 'float64' AND unique_count = non_null_count AND non_null_count >= 0.95 * total THEN 'identifier' WHEN inferred_dtype = 'float64' THEN 'numeric_continuous' WHEN inferred_dtype = 'int64' THEN CASE WHEN unique_count <= 10 AND unique_count / non_null_count < 0.05 THEN 'categorical' WHEN unique_count > 20 THEN 'numeric_continuous' ELSE 'numeric_discrete' END WHEN unique_count / non_null_count < 0.2 OR unique_count <= 50 THEN 'categorical' ELSE 'free_text' END AS semantic_type, "
+    "non_null_count, total - non_null_count AS null_count, unique_count, round(unique_count / non_null_count, 4) AS unique_ratio, min_value, max_value, mean, median, std_dev, inferred_dtype <> 'float64' AND unique_count = total AS is_candidate_identifier, unique_count <= 1 AS is_constant_or_near_constant FROM p"
+)
 def column_profiles(spark, sf):
-    return investigate(table(spark, sf, "customer")).columns_df(spark)
+    columns = ("ordinal", "name", "inferred_dtype", "semantic_type", "non_null_count", "null_count", "unique_count", "unique_ratio", "min_value", "max_value", "mean", "median", "std_dev", "is_candidate_identifier", "is_constant_or_near_constant")
+    return investigate(table(spark, sf, "customer")).columns_df(spark).select(*columns)
 
 
 # Completeness
@@ -418,16 +428,21 @@ def investigate_events(spark, sf):
     return investigate(table(spark, sf, "events")).findings_df(spark).select("id", "severity", "affected_row_count")
 
 
-@query()
+@query(
+    f"WITH t AS ({LABELLED}), m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) - count({c}) AS n, count(*) AS total FROM t" for c in ("doc_id", "lang", "quality", "toxic")) + "), b AS (SELECT count(*) FILTER (quality IS NULL AND toxic IS NULL) AS n, count(*) FILTER (quality IS NULL OR toxic IS NULL) AS u, count(*) AS total FROM t) "
+    "SELECT 'FND-CMP-MISS-' || c AS id, 'completeness' AS category, CASE WHEN n / total >= 0.5 THEN 'high' WHEN n / total >= 0.2 THEN 'medium' ELSE 'low' END AS severity, n AS affected_row_count, round(n / total, 4) AS affected_row_ratio FROM m WHERE n / total >= 0.05 UNION ALL SELECT 'FND-CMP-COMISS-quality-toxic', 'completeness', 'medium', n, round(n / total, 4) FROM b WHERE n >= 5 AND n / u >= 0.9"
+)
 def investigate_labelled(spark, sf):
+    """A joined table with a target: all findings."""
     df = labelled(spark, sf).withColumn("record_code", F.col("doc_id") % 97)
-    return investigate(df, target="toxic").findings_df(spark)
+    return investigate(df, target="toxic").findings_df(spark).select("id", "category", "severity", "affected_row_count", "affected_row_ratio")
 
 
-@query()
+@query("WITH h AS (SELECT format('{:.10e}', abs(o_totalprice))[1]::INT AS digit, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT sum(abs(coalesce(n, 0) / (SELECT count(*) FROM orders) - log10(1 + 1 / d))) / 9 AS off FROM (SELECT unnest(range(1, 10)) AS d) LEFT JOIN h ON digit = d), x AS (SELECT max(o_totalprice) / (min(o_totalprice) + 1e-9) AS span, min(o_totalprice) AS low FROM orders) SELECT 'FND-DST-BENFORD-total_price' AS finding_id, 'distribution' AS category, 6.0::DOUBLE AS deduction FROM g, x WHERE off > 0.025 AND span >= 50 AND low > 0")
 def investigate_orders(spark, sf):
+    """The deductions of a whole investigation of sound orders."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("order_date"), F.col("o_totalprice").alias("total_price"), "o_orderstatus", "o_orderpriority")
-    return investigate(o).penalties_df(spark)
+    return investigate(o).penalties_df(spark).select("finding_id", "category", "deduction")
 
 
 LITERAL = (
@@ -454,10 +469,9 @@ def score_ledger(spark, sf):
 
 @query("SELECT s AS score, CASE WHEN s >= 97 THEN 'A+' WHEN s >= 90 THEN 'A' WHEN s >= 75 THEN 'B' WHEN s >= 50 THEN 'C' WHEN s >= 30 THEN 'D' ELSE 'F' END AS grade, CASE WHEN s >= 75 THEN 'reliable' WHEN s >= 30 THEN 'caution' ELSE 'compromised' END AS verdict FROM (SELECT unnest([100.0, 97.0, 96.9, 90.0, 89.9, 75.0, 74.9, 50.0, 49.9, 30.0, 29.9, 0.0])::DOUBLE AS s)")
 def grade_verdict(spark, sf):
-    s = F.col("score")
-    pick = lambda k: F.coalesce(*[F.when(s >= g[0], F.lit(g[k])) for g in V.GRADES])
-    scores = spark.createDataFrame([(x,) for x in (100.0, 97.0, 96.9, 90.0, 89.9, 75.0, 74.9, 50.0, 49.9, 30.0, 29.9, 0.0)], "score double")
-    return scores.select("score", pick(1).alias("grade"), pick(2).alias("verdict"))
+    from .plans.scoring import grade
+
+    return spark.createDataFrame([(x, *grade(x)) for x in (100.0, 97.0, 96.9, 90.0, 89.9, 75.0, 74.9, 50.0, 49.9, 30.0, 29.9, 0.0)], "score double, grade string, verdict string")
 
 
 @query(f"SELECT severity, count(*) AS n FROM {_VALUES} GROUP BY severity")
