@@ -187,7 +187,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["investigate", path, "-o", str(out), "--compact", "--summary"]) == 0
     assert json.loads(out.read_text())["trust_score"]["grade"] == "A+" and "\n" not in out.read_text().strip() and "grade A+" in capsys.readouterr().err
     assert cli.main([path, "--markdown"]) == 0 and "## 9." in capsys.readouterr().out
-    assert cli.main([path, "-o", path]) == 2 and cli.main(["--nonsense"]) == 2
+    assert cli.main([path, "-o", path]) == 1 and cli.main(["--nonsense"]) == 2
     assert cli.main([str(tmp_path / "none.csv")]) == 1 and cli.main([path, "-t", "nothing"]) == 1
 
 
