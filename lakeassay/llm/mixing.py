@@ -43,20 +43,16 @@ MAX_GROUPS = 256
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", also: str | None = None) -> DataFrame:
-    """doc_id, source, part (the second column, if any), size: words of the whole text, and mark: a sum of its words' hashes."""
+    """doc_id, source, part (the second column, if any), mark (a hash of the text) and size: words of the whole text."""
 
     def count(batches):
         for b in batches:
-            n, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for w in text.words(b.column(3)):
-                n.append(np.diff(w.first))
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash, dtype=np.uint64)])
-                marks.append(total[w.first[1:]] - total[w.first[:-1]])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.concatenate(n)), pa.array(np.concatenate(marks).view(np.int64))], ["doc_id", "source", "part", "size", "mark"])
+            n = [np.diff(w.first) for w in text.words(b.column(4))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.concatenate(n) if n else [], pa.int64())], ["doc_id", "source", "part", "mark", "size"])
 
     kind = dict(docs.select(F.col(id_col).alias("d")).dtypes)["d"]
     part = F.col(also).cast("string") if also else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), part.alias("part"), F.col(text_col).alias("text")).mapInArrow(count, f"doc_id {kind}, source string, part string, size long, mark long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), part.alias("part"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(count, f"doc_id {kind}, source string, part string, mark long, size long")
 
 
 def numbered(sources: DataFrame) -> DataFrame:
@@ -170,7 +166,7 @@ def round_bucket(size: np.ndarray, rate: float, most: float) -> np.ndarray:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = MAX_RATE, also: str | None = None, also_share: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken, for every document.
+    """doc_id, mark (a hash of the text), source, size, source_size, target, rate, copies, taken, for every document.
 
     ``also`` names a second column and ``also_share`` the share of all words taken
     that some of its values are to have; other values share the rest. An error says if
@@ -188,7 +184,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rates = balance(aimed).withColumn("part", F.lit(None).cast("string"))
     else:
         sized, rates = _with_groups(sized, aimed, dict(also_share or {}), most)
-    joined = sized.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & F.col("d.part").eqNullSafe(F.col("r.part"))).select("d.doc_id", "d.source", "d.size", "r.source_size", "r.target", "r.rate", "d.part", F.pmod(F.xxhash64("d.doc_id", "d.mark"), F.greatest(F.lit(1), F.ceil(F.col("r.n_docs") / DOCS_IN_BUCKET))).alias("bucket"))
+    joined = sized.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & F.col("d.part").eqNullSafe(F.col("r.part"))).select("d.doc_id", "d.mark", "d.source", "d.size", "r.source_size", "r.target", "r.rate", "d.part", F.pmod(F.xxhash64("d.doc_id", "d.mark"), F.greatest(F.lit(1), F.ceil(F.col("r.n_docs") / DOCS_IN_BUCKET))).alias("bucket"))
 
     def rounded(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
@@ -197,7 +193,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return table.drop_columns(["bucket", "part"]).append_column("copies", pa.array(copies)).append_column("taken", pa.array(copies * size))
 
     kind = dict(sized.dtypes)["doc_id"]
-    return joined.groupBy("source", "part", "bucket").applyInArrow(rounded, f"doc_id {kind}, source string, size long, source_size long, target double, rate double, copies long, taken long")
+    return joined.groupBy("source", "part", "bucket").applyInArrow(rounded, f"doc_id {kind}, mark long, source string, size long, source_size long, target double, rate double, copies long, taken long")
 
 
 def _with_groups(sized: DataFrame, aimed: DataFrame, shares: dict[str, float], most: float) -> tuple[DataFrame, DataFrame]:

@@ -14,8 +14,9 @@ so Spark's committer makes them safe against lost and repeated tasks, and any
 file system that Spark writes to can hold them. Its small columns are the index.
 
 Edge cases: a null or empty text is a document of the end id alone; a null
-document id sorts first and stays null; repeated ids keep all their rows, ordered
-by their token ids; an empty table gives an empty table.
+document id sorts first and stays null; repeated ids keep all their rows, in an
+order that their token ids give, and have several shards if they fill more than one;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -273,25 +274,31 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     store.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)] or [0.5], 100 * shards)).first()[0] or []
-    cuts = np.unique(np.array(bounds if shards > 1 else [], np.int64))
+    first = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    bounds = docs.agg(F.percentile_approx(first, [k / shards for k in range(1, shards)] or [0.5], 100 * shards)).first()[0] or []
+    cuts = np.sort(np.array(bounds if shards > 1 else [], np.int64))
     model = spark.sparkContext.broadcast(_read_model(tokenizer))
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def encode(batches):
+        import zlib
+
         enc = encoder(model.value)
         for batch in batches:
-            ids, shard = batch.column(0), None
+            ids = batch.column(0)
             known = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            shard = np.searchsorted(cuts, known, "right").astype(np.int32)
+            shard, least = np.searchsorted(cuts, known, "right"), np.searchsorted(cuts, known, "left")
+            hot = np.flatnonzero(shard - least > 1)  # an id that is several bounds has the shards between them
             step = 500
             for lo in range(0, batch.num_rows, step):
                 part = batch.column(1).slice(lo, step)
                 rows = [np.concatenate([x, tail]).astype("<u4").tobytes() for x in enc.batch(part)]
+                for k in hot[(hot >= lo) & (hot < lo + step)].tolist():
+                    shard[k] = least[k] + 1 + (zlib.crc32(rows[k - lo]) * int(shard[k] - least[k]) >> 32)
                 packed = [np.frombuffer(r, "<u4") for r in rows]
                 small = all(not len(p) or p.max() < 65536 for p in packed)
                 out = [p.astype("<u2").tobytes() for p in packed] if small else rows
-                yield pa.RecordBatch.from_arrays([pa.array(shard[lo : lo + step]), ids.slice(lo, step), pa.array([2 if small else 4] * len(out), pa.int32()), pa.array(out, pa.binary())], ["shard", "doc_id", "bytes_each", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[lo : lo + step].astype(np.int32)), ids.slice(lo, step), pa.array([2 if small else 4] * len(out), pa.int32()), pa.array(out, pa.binary())], ["shard", "doc_id", "bytes_each", "ids"])
 
     def chunks(batches):
         key, number, offset = None, 0, 0

@@ -58,6 +58,27 @@ def test_documents_without_id_pass_the_filters(spark):
     assert out.where("doc_id IS NULL").count() == 1
 
 
+def test_mixture_of_rows_without_ids_or_with_shared_ones(spark):
+    rows = [(None if k % 3 == 0 else k // 2, f"word{k} " * (k % 9 + 1), "en", "ab"[k % 2], 7, 1, 2) for k in range(200)]
+    rows += [(5000, "same text here", "en", "a", 7, 1, 2)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies long, place long, turn long")
+    out = corpus_pipeline.mixture(spark, docs, SF)
+    assert out.columns == docs.columns
+    got, want = collections.Counter(), collections.Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+    for r in mixing.mix(docs).collect():
+        want[r.source] += r.taken
+    assert got == want
+    assert corpus_pipeline.mixture(spark, docs.where("doc_id < 0"), SF).count() == 0
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
 def test_repeated_rows_leave_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     out = corpus_pipeline.near_duplicates(spark, docs.union(docs.limit(7)), SF)
