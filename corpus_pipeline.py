@@ -24,6 +24,12 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, with as many marks behind as none of the documents' columns has."""
+    tail = "_" * (1 + max(map(len, docs.columns), default=0))
+    return [n + tail for n in names]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     with _stage(spark):
@@ -36,12 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     with _stage(spark):
         members, _ = jaccard_join.near_duplicates(docs, every_link=False)
         kept = _without(docs, members.where("component_id <> doc_id").select("doc_id"))
-        repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
+        repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
         if not repeated.limit(1).count():
             return kept
         again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-        return _without(kept, repeated).unionByName(again.withColumn("_place", place).where("_place = 1").drop("_place"))
+        (place,) = _free(docs, "place")
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
+        return _without(kept, repeated).unionByName(again.withColumn(place, first).where(F.col(place) == 1).drop(place))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +60,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: a row a copy, none for a document that it leaves out."""
     with _stage(spark):
-        copies = mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-        copies = copies.withColumnRenamed("doc_id", "_id")
-        # Rows that share an id share its copies, rounded up; ids are unique in practice.
-        joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).where("_copies > 0")
-        return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_copies") / F.col("_rows"))))).select(*[docs[c] for c in docs.columns])
+        key, mark, copies, rows, place, turn = _free(docs, "key", "mark", "copies", "rows", "place", "turn")
+        given = mixing.mix(docs).groupBy(F.col("doc_id").alias(key), F.col("mark").alias(mark)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+        joined = docs.join(given, docs["doc_id"].eqNullSafe(given[key]) & (F.xxhash64(docs["text"]) == given[mark])).where(F.col(copies) > 0)
+        # Rows of the same id and text share its copies; the first of them get what does not divide.
+        order = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")] or [mark]
+        joined = joined.withColumn(place, F.row_number().over(Window.partitionBy(key, mark).orderBy(*order)))
+        own = F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(place) <= F.col(copies) % F.col(rows), 1).otherwise(0)
+        many = joined.withColumn(turn, own).where(F.col(turn) > 0)
+        return many.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(turn)))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
