@@ -46,8 +46,9 @@ from .components import components
 SKETCH_BITS = (18, 26)  # least and most; about one cell for 16 shingles in between
 SKETCH_BLOCK = 1 << 15
 ID_FILTER_BITS = 1 << 26
-HUB_ROWS = 1024
+HUB_ROWS = 256  # pairs of one hub in one place
 PAIR_BLOCK = 2048
+SHORT_LIST = 32
 LIST_ROWS = 4096  # of an index list, or its part, in one place
 SMALL = 16  # sets of fewer shingles carry two hashes
 
@@ -290,7 +291,7 @@ def _beside(docs: DataFrame, pairs: DataFrame, k: int, seed: int, form, test, co
     """Bring what ``form`` makes of both sets of each pair (a, b) together and emit what ``test`` returns, if anything.
 
     What is made of ``b`` goes to each of its pairs; that of ``a`` goes once to each
-    1,024 pairs that it has, so a hub of any degree is split.
+    256 pairs that it has, so a hub of any degree is split.
     """
     marks = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("a").union(pairs.select("b"))))
 
@@ -403,6 +404,21 @@ def cross_pairs(lists: DataFrame, classes: DataFrame | None, num: int, den: int,
                 u = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names)
 
+        def of_short_lists(cols, bounds):
+            """Pairs of all lists up to ``SHORT_LIST`` rows at once: each row with the one 1, 2, ... places on."""
+            size = np.diff(bounds)
+            short = (size > 1) & (size <= SHORT_LIST) & (cols[1][bounds[:-1]] == 0)
+            number = np.repeat(np.where(short, np.arange(len(size)), -1), size)
+            keep = np.flatnonzero(number >= 0)
+            number, pos, n, doc, own = number[keep], *(c[keep] for c in cols[2:6])
+            for d in range(1, int(size[short].max(initial=1))):
+                a = np.flatnonzero((number[d:] == number[:-d]) & (own[d:] != own[:-d]))
+                b = a + d
+                fits = (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need(n[a], n[b], num, den))
+                a, b = doc[a[fits]], doc[b[fits]]
+                if len(a):
+                    yield np.minimum(a, b), np.maximum(a, b)
+
         carry = None
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
@@ -410,10 +426,11 @@ def cross_pairs(lists: DataFrame, classes: DataFrame | None, num: int, den: int,
                 cols = [np.concatenate(c) for c in zip(carry, cols, strict=True)]
             token, group = cols[:2]
             cut = np.flatnonzero((token[1:] != token[:-1]) | (group[1:] != group[:-1])) + 1
-            bounds = [0, *cut.tolist()]
-            found = []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 1 and (cols[5][lo:hi] != cols[5][lo]).any():
+            bounds = np.append(0, cut)
+            found = list(of_short_lists([c[: bounds[-1]] for c in cols], bounds)) if len(cut) else []
+            long = np.flatnonzero((np.diff(bounds) > SHORT_LIST) | ((group[bounds[:-1]] > 0) & (np.diff(bounds) > 1)))
+            for lo, hi in zip(bounds[long].tolist(), bounds[long + 1].tolist(), strict=True):
+                if (cols[5][lo:hi] != cols[5][lo]).any():
                     for f in of_list([c[lo:hi] for c in cols[2:]]):
                         found.append(f)
                         if sum(len(x[0]) for x in found) > 1_000_000:
