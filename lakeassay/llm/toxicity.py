@@ -2,14 +2,16 @@
 
 Features are the words of a text (marks at both ends taken off, A-Z as a-z) and
 the first 3 to 7 bytes of longer words, hashed; a document has a feature or not.
-A logistic model is fitted on labelled texts with a second penalty: labelled
-sentences that name a group are copied with the group's name swapped for others,
-and the squared change of the score between original and copies is penalised.
-Naming a group so cannot by itself move a score, which cuts false alarms on
-neutral mentions.
-
-Labelled texts are a sample of bounded size (``MAX_TRAIN`` rows by hash order),
-and candidate features are chosen on all of it; every whole text is scored.
+A logistic model is fitted on labelled texts with a second penalty: sentences of
+labelled texts that name a group are copied with the group's name swapped for each
+other one of its kind, and the squared change of the score between a sentence and
+its copies is penalised. Naming a group so cannot by itself move a score, which cuts
+false alarms on neutral mentions.
+
+Labelled texts are a sample of bounded size (``MAX_TRAIN`` rows by hash order), of each
+of which up to ``MAX_SENTENCES`` sentences that name a group are swapped (in the order
+of a hash); candidate features are chosen on all whole texts of it; every whole text
+is scored.
 Edge cases: null and empty texts have no features and get the model's base score;
 without labels of both classes every score is the smoothed share of label 1;
 repeated rows score alike; an empty table gives an empty table.
@@ -17,6 +19,8 @@ repeated rows score alike; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +34,8 @@ from .labelled import MAX_TRAIN, fold, sample
 
 PREFIXES = (3, 4, 5, 6, 7)
 MAX_FEATURES = 8192
+MAX_SENTENCES = 8
+PARTS = 16  # more than the terms of any kind
 
 # Group terms that may stand for each other, one line a kind and language.
 GROUP_TERMS = (
@@ -58,17 +64,25 @@ def _features(w: text.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(h)
 
 
-def swapped(words: list[str], terms=GROUP_TERMS) -> list[str] | None:
-    """The sentence with each group term replaced by the next of its kind; None if it names no group."""
-    out, found = [], False
-    place = {t: kind[(i + 1) % len(kind)] for kind in terms for i, t in enumerate(kind)}
+def swapped(words: list[str], terms=GROUP_TERMS, by: int = 1) -> list[str] | None:
+    """The words with each group term replaced by the one ``by`` places on in its kind; None if nothing changes."""
+    out, place = [], {t: kind[(i + by) % len(kind)] for kind in terms for i, t in enumerate(kind)}
     for word in words:
         bare = word.strip(".,;:!?\"'()").lower()
-        if bare in place:
-            found = True
-            word = word.lower().replace(bare, place[bare])
-        out.append(word)
-    return out if found else None
+        out.append(word.lower().replace(bare, place[bare]) if bare in place else word)
+    return out if out != words else None
+
+
+def sentences_and_swaps(text_: str, terms=GROUP_TERMS) -> list[list[str]]:
+    """Each sentence of a text that names a group, followed by its copies with every other term of the kind."""
+    named, out = {t for kind in terms for t in kind}, {}
+    for sentence in re.split(r"(?<=[.!?])\s+|\n+", text_):
+        words = sentence.split()
+        if any(w.strip(".,;:!?\"'()").lower() in named for w in words):
+            out.setdefault(" ".join(words), words)
+    most = max(map(len, terms), default=1)
+    chosen = sorted(out, key=lambda x: zlib.crc32(x.encode()))[:MAX_SENTENCES]
+    return [[x, *dict.fromkeys(" ".join(c) for by in range(1, most) if (c := swapped(out[x], terms, by)))] for x in chosen]
 
 
 @dataclass
@@ -94,7 +108,7 @@ class ToxicModel:
 def fit_logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, d: int, pairs: np.ndarray, ridge: float = 0.1, counter: float = 5.0, steps: int = 20) -> tuple[np.ndarray, float]:
     """Weights and bias of binary features given as (row, column) entries.
 
-    ``pairs``: (original row, copy row); copies have no label (their y is nan). The
+    ``pairs``: (a sentence's row, a copy's row); neither has a label (their y is nan). The
     loss is logistic (both labels weigh the same in sum) + ridge * |w|^2 / 2 +
     counter * sum((score - score of copy)^2) / 2, minimised by Newton steps with
     conjugate gradients and step halving.
@@ -156,11 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
     chosen = sample(labels, label_col, folds, held_out, max_train)
 
     def extract(batches):
-        # One row a labelled text, and one more for each text that names a group, with the names swapped.
+        # Part 0 is a labelled text; part PARTS * k is a sentence that names a group, the parts after it are its copies.
         for batch in batches:
             ids, texts, marks = (c.to_pylist() for c in batch.columns)
-            rows = [(i, t or "", float(m), False) for i, t, m in zip(ids, texts, marks, strict=True)]
-            rows += [(i, " ".join(c), None, True) for i, t, _, _ in list(rows) if (c := swapped(t.split(), terms))]
+            rows = [(i, t or "", float(m), 0) for i, t, m in zip(ids, texts, marks, strict=True)]
+            rows += [(i, x, None, PARTS * k + j) for i, t, _, _ in list(rows) for k, same in enumerate(sentences_and_swaps(t, terms), 1) for j, x in enumerate(same)]
             found: list[bytes] = []
             for w in text.words(pa.array([r[1] for r in rows], pa.string())):
                 row, h = _features(w)
@@ -171,11 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
                 row, h = row[new], h[new]
                 cut = np.searchsorted(row, np.arange(len(w.rows) + 1))
                 found += [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows]), pa.array(found, pa.binary())], ["doc_id", "label", "copy", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32()), pa.array(found, pa.binary())], ["doc_id", "label", "part", "features"])
 
     # The sample's bound is the broadcast's.
-    rows = store.write(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label double, copy boolean, features binary"), "labelled")
-    share = {r[0]: r[1] for r in rows.where("not copy").groupBy("label").count().collect()}
+    rows = store.write(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label double, part int, features binary"), "labelled")
+    share = {r[0]: r[1] for r in rows.where("part = 0").groupBy("label").count().collect()}
     n1, n0 = share.get(1.0, 0), share.get(0.0, 0)
     if not n1 or not n0:
         p = (n1 + 1) / (n1 + n0 + 2)
@@ -202,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
         if held:
             yield out()
 
-    counts = rows.where("not copy").select("label", "features").mapInArrow(count, "feature long, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).where(F.col("one") >= least_docs)
+    counts = rows.where("part = 0").select("label", "features").mapInArrow(count, "feature long, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).where(F.col("one") >= least_docs)
     # The lower bound, two standard errors down, of the log odds of having the feature; surer features first.
     odds = F.abs(F.log((F.col("one") + 0.5) / (n1 + 1.0)) - F.log((F.col("zero") + 0.5) / (n0 + 1.0)))
     ranked = counts.withColumn("rank", odds * F.sqrt("one"))
@@ -221,14 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int
                 h = np.frombuffer(x, np.uint64)
                 p = np.minimum(np.searchsorted(f, h), len(f) - 1)
                 out.append(p[f[p] == h].astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "label", "copy", "features"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["doc_id", "label", "part", "features"])
 
-    data = rows.mapInArrow(narrow, "doc_id long, label double, copy boolean, features binary").toPandas().sort_values(["doc_id", "copy"], kind="stable").reset_index(drop=True)
+    data = rows.mapInArrow(narrow, "doc_id long, label double, part int, features binary").toPandas().sort_values(["doc_id", "part"], kind="stable").reset_index(drop=True)
     y = data["label"].to_numpy(float)
     lists = [np.frombuffer(f, np.uint16) for f in data["features"]]
     at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    first = {d: i for i, (d, c) in enumerate(zip(data["doc_id"], data["copy"], strict=True)) if not c}
-    pairs = np.array([(first[d], i) for i, (d, c) in enumerate(zip(data["doc_id"], data["copy"], strict=True)) if c], np.int64).reshape(-1, 2)
+    first = {(d, p): i for i, (d, p) in enumerate(zip(data["doc_id"], data["part"], strict=True)) if p % PARTS == 0}
+    pairs = np.array([(first[d, p - p % PARTS], i) for i, (d, p) in enumerate(zip(data["doc_id"], data["part"], strict=True)) if p % PARTS], np.int64).reshape(-1, 2)
     w, b = fit_logistic(at, np.concatenate(lists).astype(np.int64), y, len(features), pairs, counter=counter)
     keep = w != 0
     return ToxicModel(features[keep], w[keep], b)

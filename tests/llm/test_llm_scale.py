@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakeassay.llm import decontaminate, jaccard_join, line_dedup, mixing, pseudo_likelihood, secrets, text, token_planes
+from lakeassay.llm import decontaminate, jaccard_join, line_dedup, mixing, pseudo_likelihood, secrets, text, token_planes, toxicity
 from lakeassay.llm.queries import SQL
 
 SYL = ["ka", "lo", "mi", "ter", "an", "vor", "sul", "pe", "rin", "do", "ga", "tu", "él", "ñu"]
@@ -267,3 +267,15 @@ def test_ids_that_fill_several_shards(spark, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = collections.Counter((i, tuple([*tok.encode(t, add_special_tokens=False).ids, 2])) for i, t in rows)
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+
+
+def test_sentences_are_swapped_for_every_other_term():
+    got = toxicity.sentences_and_swaps("The old women sang. Nobody listened!\nWomen, men and Muslims came. the old women sang.", (("women", "men", "girls"), ("muslims", "jews")))
+    assert sorted(map(tuple, got)) == sorted([
+        ("The old women sang.", "The old men sang.", "The old girls sang."),
+        ("the old women sang.", "the old men sang.", "the old girls sang."),
+        ("Women, men and Muslims came.", "men, girls and jews came.", "girls, women and Muslims came.".replace("Muslims", "muslims")),
+    ])
+    assert toxicity.sentences_and_swaps("no group here") == [] and toxicity.sentences_and_swaps("") == []
+    many = " ".join(f"Men number {k} left." for k in range(50))
+    assert len(toxicity.sentences_and_swaps(many)) == toxicity.MAX_SENTENCES
