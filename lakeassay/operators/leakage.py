@@ -19,7 +19,8 @@ def correlation(df: DataFrame, a: Column, b: Column) -> float | None:
     return pairs.agg(pearson("a", "b")).first()[0]
 
 
-def pearson(a: str, b: str) -> Column:
+def pearson(a: str | Column, b: str | Column) -> Column:
+    """Of two columns that are null in the same rows."""
     varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
     return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
@@ -79,6 +80,10 @@ def find(ctx: Context, target: str | None = None) -> list:
         aggs["pairs", c] = F.count(F.when(pair, 1))
         aggs["same", c] = F.count(F.when(pair & same_text(ctx, c, target), 1))
         if ctx.by_name[c].is_numeric and ctx.by_name[target].is_numeric:
+            if not ctx.by_name[c].is_candidate_identifier:
+                x, y = (number(ctx.frame, k).cast("double") for k in (c, target))
+                both = X.finite(x) & X.finite(y)
+                aggs["r", c] = pearson(F.when(both, x), F.when(both, y))
             aggs["finite", c] = F.count(F.when(X.finite(col(c).cast("double")) & X.finite(col(target).cast("double")), 1)) if "bool" not in (ctx.frame.kinds[c], ctx.frame.kinds[target]) else aggs["pairs", c]
     got = in_batches(ctx.df, aggs)
     out = []
@@ -93,7 +98,7 @@ def find(ctx: Context, target: str | None = None) -> list:
         if p.is_numeric and t.is_numeric:
             if got["finite", c] >= 10 and not p.is_candidate_identifier:
                 x, y = number(ctx.frame, c), number(ctx.frame, target)
-                r, s = correlation(ctx.df, x, y), spearman(ctx.df, x, y)
+                r, s = got["r", c], spearman(ctx.df, x, y)
                 top = max([abs(v) for v in (r, s) if v is not None], default=None)
                 if top is not None and top >= 0.95:
                     severity = "critical" if top >= 0.98 else "high"
