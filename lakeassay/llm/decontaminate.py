@@ -15,7 +15,8 @@
    The words that a candidate shares with the item must carry enough of its weight.
 4. A candidate is confirmed by the longest common subsequence of words between the
    item and the text around the window (one word more than ``min_lcs`` of the item, so
-   that short items need a larger share), or by a shorter one together with the
+   that short items need a larger share; below six words in ten the common words, in
+   their order, must also carry ``min_ordered`` of the item's weight), or by a shorter one together with the
    item's answer. Items of ``min_exact`` to ``min_words`` - 1 words have no window
    worth the name; they are found where all their words stand in a row.
 
@@ -46,6 +47,7 @@ RANK = 64
 BLOCK_BYTES = 4 << 20
 BLOCK_ITEMS = 256  # four times the rank: more items would crowd the latent space
 SCAN_BYTES = 96 << 20
+SURE_LCS = 0.6  # of an item's words; a shorter common subsequence must carry enough of its weight as well
 TABLE_BITS = 18
 
 
@@ -114,6 +116,14 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
+    """The most weight that a common subsequence of terms has; a term of ``b`` without a weight matches nothing."""
+    row = np.zeros(len(b) + 1)
+    for x in a.tolist():
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + weight[x], 0.0)))
+    return float(row[-1])
+
+
 def document_frequencies(docs: DataFrame, lookup, size: int) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and documents in all."""
 
@@ -189,7 +199,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, lookup, rank: int, seed
     return q
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, min_cosine: float = 0.9, min_norm: float = 0.15, min_weight: float = 0.4, min_lcs: float = 0.45, min_lcs_with_answer: float = 0.4, min_words: int = 8, min_exact: int = 4, rank: int = RANK, block_bytes: int = BLOCK_BYTES, block_items: int = BLOCK_ITEMS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, min_cosine: float = 0.9, min_norm: float = 0.15, min_weight: float = 0.4, min_lcs: float = 0.45, min_lcs_with_answer: float = 0.4, min_ordered: float = 0.45, min_words: int = 8, min_exact: int = 4, rank: int = RANK, block_bytes: int = BLOCK_BYTES, block_items: int = BLOCK_ITEMS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, item_words, answer_found), a row for each benchmark item found in a document."""
     spark = docs.sparkSession
     store.small_batches(spark)
@@ -202,7 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = store.write(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts)))), "items")
     found = None
     for scan in _scans(items, 4 * block_bytes + (longest or 0), scan_bytes, rank):
-        some = _find(docs, items, scan, *kinds, min_cosine, min_norm, min_weight, min_lcs, min_lcs_with_answer, min_words, min_exact, rank)
+        some = _find(docs, items, scan, *kinds, min_cosine, min_norm, min_weight, min_lcs, min_lcs_with_answer, min_ordered, min_words, min_exact, rank)
         found = some if found is None else found.union(some)
     if found is None:
         return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, cosine double, lcs long, item_words long, answer_found boolean")
@@ -229,6 +239,7 @@ class Space:
 
     def __init__(self, latent, vec, item_terms, answer_terms, names, idf, least_norm, short, short_names):
         self.latent, self.vec, self.item_terms, self.names, self.least_norm = latent, vec, item_terms, names, least_norm
+        self.idf = idf
         self.reach = np.linalg.norm(latent, axis=1)
         self.none, self.lens = len(latent) - 1, np.array([len(t) for t in item_terms], np.int64)
         self.answers = [a.tobytes() for a in answer_terms]
@@ -251,7 +262,7 @@ def _row_keys(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _find(docs, items, blocks, doc_kind, item_kind, min_cosine, min_norm, min_weight, min_lcs, min_lcs_with_answer, min_words, min_exact, rank):
+def _find(docs, items, blocks, doc_kind, item_kind, min_cosine, min_norm, min_weight, min_lcs, min_lcs_with_answer, min_ordered, min_words, min_exact, rank):
     spark = docs.sparkSession
     hashes, answers, rows = {}, {}, {}
     for k in blocks:
@@ -294,7 +305,7 @@ def _find(docs, items, blocks, doc_kind, item_kind, min_cosine, min_norm, min_we
                 every = find(terms(w))
                 for local, space in spaces:
                     t = local[every]
-                    hits = _search(space, t, w.first, min_cosine, min_weight, min_lcs, min_lcs_with_answer)
+                    hits = _search(space, t, w.first, min_cosine, min_weight, min_lcs, min_lcs_with_answer, min_ordered)
                     out += [(ids[w.rows.start + d], name, *v) for (d, name), v in hits]
             if out:
                 cols = list(zip(*out, strict=True))
@@ -303,7 +314,7 @@ def _find(docs, items, blocks, doc_kind, item_kind, min_cosine, min_norm, min_we
     return docs.mapInArrow(search, f"doc_id {doc_kind}, item_id {item_kind}, cosine double, lcs long, item_words long, answer_found boolean")
 
 
-def _search(s: Space, t: np.ndarray, first: np.ndarray, min_cosine: float, min_weight: float, min_lcs: float, min_lcs_with_answer: float) -> list:
+def _search(s: Space, t: np.ndarray, first: np.ndarray, min_cosine: float, min_weight: float, min_lcs: float, min_lcs_with_answer: float, min_ordered: float) -> list:
     """((row, item), (cosine, lcs, item_words, answer_found)) of what some rows hold, ``t`` being their words' terms."""
     short = []
     for size, (keys, of) in s.short.items():
@@ -371,6 +382,8 @@ def _search(s: Space, t: np.ndarray, first: np.ndarray, min_cosine: float, min_w
         if (np.minimum(both, many) / many * weight).sum() < min_weight * float(weight.sum()):
             continue
         common = _best_lcs(s.item_terms[i], near, s.none)
+        if common < SURE_LCS * size and weighted_lcs(s.item_terms[i], near, s.idf) < min_ordered * float(weight.sum()):
+            continue
         answer = s.answers[i] in _aligned(near, s.answers[i])
         if common >= min_lcs * size + 1 or (answer and common >= min_lcs_with_answer * size):
             old = hits.get((d, i))
