@@ -292,3 +292,16 @@ def test_sentences_are_swapped_for_every_other_term():
     assert toxicity.sentences_and_swaps("no group here") == [] and toxicity.sentences_and_swaps("") == []
     many = " ".join(f"Men number {k} left." for k in range(50))
     assert len(toxicity.sentences_and_swaps(many)) == toxicity.MAX_SENTENCES
+
+
+def test_the_most_frequent_words_are_found_by_where_they_end(spark):
+    rng = random.Random(3)
+    for spread in (lambda: rng.randint(1, 3), lambda: int(rng.paretovariate(0.6)), lambda: 5):
+        rows = [(rng.randrange(-(1 << 63), 1 << 63), spread()) for _ in range(900)]
+        df = spark.createDataFrame(rows, "word long, n long")
+        for k in (1, 7, 100, 899, 900, 5000):
+            want = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+            words, n = pseudo_likelihood.most_frequent(df, k)
+            assert words.view(np.int64).tolist() == [w for w, _ in want] and n.tolist() == [c for _, c in want]
+    words, n = pseudo_likelihood.most_frequent(df.where("n < 0"), 5)
+    assert len(words) == len(n) == 0
